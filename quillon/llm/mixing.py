@@ -11,14 +11,18 @@ from quillon.llm.common import stored
 AXES = ("source", "lang", "topic")
 
 
+def occurrences(text: Column, mark: str) -> Column:
+    """How often an ASCII character occurs."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+
 def topic_of(text: Column, lang: Column) -> Column:
     """The production topic: the register of a text by its layout, found by built-in functions only.
 
-    table: at least 5 vertical bars; list: at least 20 lines; short: under 600 characters; long: over 6,000; else prose.
+    table: at least 5 vertical bars; list: at least 20 lines; short: under 600 bytes; long: over 6,000; else prose.
     """
-    lines = F.char_length(text) - F.char_length(F.translate(text, "\n", ""))
-    bars = F.char_length(text) - F.char_length(F.translate(text, "|", ""))
-    return F.when(bars >= 5, "table").when(lines >= 20, "list").when(F.char_length(text) < 600, "short").when(F.char_length(text) > 6000, "long").otherwise("prose")
+    lines, bars = occurrences(text, "\n"), occurrences(text, "|")
+    return F.when(bars >= 5, "table").when(lines >= 20, "list").when(F.octet_length(text) < 600, "short").when(F.octet_length(text) > 6000, "long").otherwise("prose")
 
 
 def mix(
@@ -31,7 +35,7 @@ def mix(
 ) -> DataFrame:
     """Adds topic, n_tokens, weight and probability, and keeps each document with its probability.
 
-    1. Token counts (blank-separated words of the text, at least 1) are summed per cell (source, lang, topic): one
+    1. Token counts (pieces of the text between blanks and line ends, at least 1) are summed per cell (source, lang, topic): one
        partially aggregated shuffle, so a source with a third of all rows moves as one row per task and cell.
     2. Target marginals are the natural shares to the power ``temper``, made to sum to 1 on each axis: small sources
        gain. Raking repeats, ``sweeps`` times: scale the cells' weights to each axis' targets in turn.
@@ -46,7 +50,7 @@ def mix(
     added = ("topic", "n_tokens", "weight", "probability")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.drop(*added)
-    words = F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[^\t-\r ]+"))).cast("bigint")
+    words = (occurrences(text, " ") + occurrences(text, "\n") + 1).cast("bigint")
     known = {f"__{a}": F.coalesce((topic if topic is not None else topic_of(text, F.col("lang"))) if a == "topic" else F.col(a), F.lit("unknown")) for a in AXES}
     marked = base.withColumns(known | {"__tokens": words})
     cells = stored(marked.groupBy(*known).agg(F.sum("__tokens").alias("tokens")))

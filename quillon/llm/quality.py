@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, U64, Cache, arrow, mix, stored
+from quillon.llm.common import SPACE, U64, arrow, mix, stored
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -32,18 +32,20 @@ FEATURES = ("n_words", "n_dup_lines", *RATIOS)
 MAX_TRAIN = 20_000
 
 
-def repeated_words(words: list[bytes], hashes: np.ndarray) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words in 8-word windows found twice or more in the text. Hashes find candidates, the words themselves decide."""
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
+    hashes = mix(np.fromiter(map(hash, words), np.int64, len(words)).view(U64))
     h = np.zeros(n, U64)
     for i in range(WINDOW):
         h = h * U64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    ordered = np.sort(h)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
     at = np.flatnonzero(counts[inverse] > 1)
-    if not len(at):
-        return 0
     seen: dict[tuple, list[int]] = {}
     for i in at.tolist():
         seen.setdefault(tuple(words[i : i + WINDOW]), []).append(i)
@@ -56,21 +58,19 @@ def repeated_words(words: list[bytes], hashes: np.ndarray) -> int:
     return int((np.cumsum(delta) > 0).sum())
 
 
-def text_counts(text: str, cache: Cache) -> tuple[int, ...]:
+def text_counts(text: str) -> tuple[int, ...]:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    hashes = np.fromiter(map(cache.__getitem__, words), U64, len(words))
     lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
-    ascii_ = raw.translate(None, bytes(range(128, 256)))
     blank = len(raw) - len(raw.translate(None, SPACE))
     return (
         len(words),
         len(text) - blank,
         len(raw) - len(raw.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated_words(words, hashes),
+        repeated_words(words),
         len(lines),
-        sum(map(str.isupper, text)) if len(ascii_) < len(raw) else len(raw) - len(raw.translate(None, bytes(range(65, 91)))),
+        len(raw) - len(raw.translate(None, bytes(range(65, 91)))),
         raw.count(b"!") + raw.count(b"?"),
         len(raw) - len(raw.translate(None, b"0123456789")),
         len(set(words)),
@@ -78,11 +78,8 @@ def text_counts(text: str, cache: Cache) -> tuple[int, ...]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    cache = Cache(lambda w: mix(np.array([xxhash.xxh3_64_intdigest(w)], U64))[0])
     for b in batches:
-        found = [text_counts(t or "", cache) for t in b.column(1).to_pylist()]
+        found = [text_counts(t or "") for t in b.column(1).to_pylist()]
         columns = list(zip(*found, strict=True)) or [()] * len(COUNTS)
         yield arrow({"doc_id": b.column(0)} | dict(zip(COUNTS, columns, strict=True)), KINDS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Iterator
 from functools import cache
@@ -11,93 +12,88 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.common import arrow, documents
 
-#: A trie is started anew beyond so many nodes, which bounds a task's memory.
-MOST_NODES = 400_000
+#: Stored counts are started anew beyond so many words, which bounds a task's memory.
+MOST_WORDS = 1_000_000
+#: The counts that a worker process keeps from one task to the next, by vocabulary file.
+KNOWN: dict[str, dict[bytes, int]] = {}
 #: Log probability of a byte that no piece covers.
 UNKNOWN = -30.0
 
 
 @cache
-def pieces(path: str) -> tuple[dict[bytes, float], int]:
-    """Pieces of a vocabulary file with log probabilities, and the longest piece's bytes.
+def pieces(path: str) -> dict[bytes, float]:
+    """Every prefix of a vocabulary file's pieces: its log probability if it is a piece itself, else 1.
 
     The file orders pieces by how early training chose them; without counts the scores are Zipf's law over that order.
     """
-    import base64
-
     with open(path, "rb") as f:
-        found = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    norm = math.log(sum(1 / (r + 2) for r in found.values()))
-    return {p: -math.log(r + 2) - norm for p, r in found.items()}, max(map(len, found))
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return with_prefixes({p: -math.log(r + 2) for p, r in ranks.items()})
 
 
-class Trie:
-    """Distinct pre-tokens by shared prefix. A node keeps the forward score of its prefix and the pieces of the best
-    segmentation that ends there, so that a prefix is worked out once for all words which begin with it.
+def with_prefixes(scores: dict[bytes, float]) -> dict[bytes, float]:
+    norm = math.log(sum(map(math.exp, scores.values())))
+    return {p[:k]: 1.0 for p in scores for k in range(1, len(p))} | {p: s - norm for p, s in scores.items()}
 
-    Nodes are numbered; ``edge`` maps (node, byte) to the next one. Of equal scores the segmentation with fewer pieces wins.
-    """
 
-    def __init__(self, path: str, most_nodes: int = MOST_NODES) -> None:
-        self.scores, self.longest = pieces(path)
-        self.most = most_nodes
-        self.clear()
-
-    def clear(self) -> None:
-        self.edge: dict[int, int] = {}
-        self.best, self.count = [0.0], [0]
-        self.terminal: dict[bytes, int] = {}
-        self.computed = 0
-
-    def insert(self, word: bytes) -> int:
-        """The number of tokens of a pre-token; stored at its last node."""
-        if len(self.best) > self.most:
-            self.clear()
-        node, path, best, count, scores = 0, [0], self.best, self.count, self.scores
-        for i, byte in enumerate(word):
-            key = node << 8 | byte
-            nxt = self.edge.get(key)
-            if nxt is None:
-                nxt = self.edge[key] = len(best)
-                top, fewest = -math.inf, 0
-                for start in range(max(0, i + 1 - self.longest), i + 1):
-                    s = scores.get(word[start : i + 1])
-                    if s is None:
-                        if start < i:
-                            continue
-                        s = UNKNOWN
-                    at = path[start]
-                    total, n = best[at] + s, count[at] + 1
+def forward(words: list[bytes], prefixes: dict[bytes, float]) -> Iterator[tuple[bytes, int]]:
+    """(word, tokens of the best segmentation) for distinct words in ascending order.
+
+    Sorted words are the leaves of their trie in the order of a walk, so only the nodes on the way to the current word
+    are held: for each its forward score, the pieces of the best segmentation that ends there, and the starts from
+    which a piece may still go on. What two words share is worked out once. Of equal scores the one with fewer pieces
+    wins; a byte that no piece covers is a token of its own.
+    """
+    best, count, going, last = [0.0], [0], [[]], b""
+    get = prefixes.get
+    for word in words:
+        shared, most = 0, min(len(word), len(last))
+        while shared < most and word[shared] == last[shared]:
+            shared += 1
+        del best[shared + 1 :], count[shared + 1 :], going[shared + 1 :]
+        for i in range(shared, len(word)):
+            top, fewest, on, end = -math.inf, 0, [], i + 1
+            for start in (*going[i], i):
+                score = get(word[start:end])
+                if score is not None:
+                    on.append(start)
+                elif start < i:
+                    continue
+                if score is None or (score > 0 and start == i):
+                    score = UNKNOWN
+                if score <= 0:
+                    total, n = best[start] + score, count[start] + 1
                     if total > top or (total == top and n < fewest):
                         top, fewest = total, n
-                best.append(top)
-                count.append(fewest)
-                self.computed += 1
-            node = nxt
-            path.append(node)
-        self.terminal[word] = count[node]
-        return count[node]
-
-    def __getitem__(self, word: bytes) -> int:
-        found = self.terminal.get(word)
-        return self.insert(word) if found is None else found
+            best.append(top)
+            count.append(fewest)
+            going.append(on)
+        last = word
+        yield word, count[-1]
 
 
 def counted(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words and n_tokens of each row; a pre-token is a blank and a word ``[^\\x20\\x09-\\x0D]+`` in UTF-8.
 
-    Each task works through its own trie: frequent words and prefixes are computed once per task, nothing is shuffled,
-    and memory is bounded by the size at which a trie starts anew. Null and empty texts have 0 tokens.
+    Each worker walks one trie per batch, of the batch's words that it hasn't counted yet, and keeps the terminal counts
+    of the words seen up to a bound; nothing is shuffled. Null and empty texts have 0 tokens.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(path)
-        for b in batches:
-            words, tokens = [], []
-            for text in b.column(1).to_pylist():
-                found = (text or "").encode("utf-8", "surrogatepass").split()
-                words.append(len(found))
-                tokens.append(sum(trie[b" " + w] for w in found))
-            yield arrow({"doc_id": b.column(0), "n_words": words, "n_tokens": tokens}, {"doc_id": pa.int64(), "n_words": pa.int64(), "n_tokens": pa.int64()})
+        from quillon.llm import tokens
+
+        prefixes, known = pieces(path), tokens.KNOWN.setdefault(path, {})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in b.column(1).to_pylist()]
+                new = set().union(*texts).difference(known)
+                if len(known) + len(new) > MOST_WORDS:
+                    known.clear()
+                    new = set().union(*texts)
+                for word, n in forward(sorted(b" " + w for w in new), prefixes):
+                    known[word[1:]] = n
+                totals = [sum(map(known.__getitem__, t)) for t in texts]
+                yield arrow({"doc_id": b.column(0), "n_words": list(map(len, texts)), "n_tokens": totals}, {"doc_id": pa.int64(), "n_words": pa.int64(), "n_tokens": pa.int64()})
 
     return documents(docs).mapInArrow(count, "doc_id bigint, n_words bigint, n_tokens bigint")
