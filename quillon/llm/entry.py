@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, mixing, packing, quality, sharding, tokens
+from quillon.llm import chat, jaccard, mixing, packing, quality, sharding, tokens
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -40,12 +40,16 @@ def op8_prefix_sum_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_mixing, op8_prefix_sum_sharding, op10_chat_rotation]
+    found = [op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_mixing, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
     return {f.__name__: f for f in found}
 
 
