@@ -52,6 +52,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class WordHasher:
+    """64-bit hashes of the words of many texts at once, without an object per word.
+
+    A word's hash is a polynomial of table values of its bytes, from prefix sums over the whole buffer, then mixed
+    with its length. A-Z count as a-z; white space is that of ASCII.
+    """
+
+    BASE = U64(0x9E3779B97F4A7C15)
+
+    def __init__(self) -> None:
+        self.values = np.random.default_rng(20240229).integers(0, 1 << 64, 256, U64)[np.frombuffer(LOWER, np.uint8)]
+        self.blank = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(SPACE, np.uint8))
+        self.up = self.down = np.ones(1, U64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << n.bit_length()
+            inverse = U64(pow(int(self.BASE), -1, 1 << 64))
+            self.up = np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, self.BASE)]), dtype=U64)
+            self.down = np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, inverse)]), dtype=U64)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes in order, and where each text's begin (with the end of the last)."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        buffer = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+        self._powers(len(buffer) + 1)
+        blank = self.blank[buffer]
+        edge = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(self.values[buffer] * self.up[: len(buffer)], dtype=U64)])
+        h = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return h, np.searchsorted(starts, begin)
+
+
 class Bloom:
     """A filter of fixed size, so that it can be broadcast at any input; when it fills up, it only lets more pass."""
 
@@ -137,6 +172,10 @@ class Forest:
         return self.up
 
 
+#: A graph of so few edges, a few MB, is finished in one task.
+FEW_EDGES = 200_000
+
+
 def _priority(column: str | Column, level: int) -> Column:
     return F.struct(F.xxhash64(column, F.lit(level)).alias("h"), F.col(column).alias("id") if isinstance(column, str) else column.alias("id"))
 
@@ -144,14 +183,14 @@ def _priority(column: str | Column, level: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in the edges (a, b); ids linked by any path have the same root, itself one of them.
 
-    Contraction: each node moves to the neighbour (or itself) of least random priority; edges between the places of
+    Contraction, until FEW_EDGES are left (which one executor's task finishes): each node moves to the neighbour (or itself) of least random priority; edges between the places of
     their ends make the next, smaller graph. Random priorities shrink chains by a constant factor a level, so the
     number of levels is logarithmic. Everything stays distributed; a hot node is aggregated before the shuffle, and
     joins on it are ones that Spark can split.
     """
     e = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     levels: list[DataFrame] = []
-    while not e.isEmpty():
+    while e.count() > FEW_EDGES:
         level = len(levels)
         both = e.union(e.select("b", "a"))
         nearest = both.groupBy(F.col("a").alias("id")).agg(F.min(_priority("b", level)).alias("m"))
@@ -160,15 +199,25 @@ def components(edges: DataFrame) -> DataFrame:
         moved = e.join(to.select(F.col("id").alias("a"), F.col("up").alias("ua")), "a").join(to.select(F.col("id").alias("b"), F.col("up").alias("ub")), "b")
         moved = moved.where(F.col("ua") != F.col("ub")).select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
         e = stored(moved.distinct())
-    if not levels:
-        return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    root = levels[-1].select("id", F.col("up").alias("root"))
-    for to in reversed(levels[:-1]):
+    root = e.coalesce(1).mapInArrow(_few, "id bigint, root bigint")
+    for to in reversed(levels):
         above = root.select(F.col("id").alias("up"), "root")
         root = to.join(above, "up", "left").select("id", F.coalesce("root", "up").alias("root"))
     return root
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of at most FEW_EDGES edges, in one task of known size."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(ids))
+        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+            forest.join(x, y)
+        yield pa.RecordBatch.from_pydict({"id": ids, "root": ids[forest.roots()]})
+
+
 def arrow(rows: dict[str, list | np.ndarray], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], names=list(kinds))
 

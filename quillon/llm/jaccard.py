@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, U64, Bloom, Cache, Forest, arrow, by_key, components, documents, grouped, mix, stored
+from quillon.llm.common import U64, Bloom, Forest, WordHasher, arrow, by_key, components, documents, grouped, mix, stored
 
 #: N-grams of the greatest document frequency that come last in the global order; a bound on what is broadcast.
 LAST = 1 << 17
@@ -18,28 +19,19 @@ LAST = 1 << 17
 MOST_DOCS, MOST_GRAMS = 1500, 1_500_000
 
 
-def word_hashes() -> Cache:
-    import xxhash
-
-    return Cache(xxhash.xxh3_64_intdigest)
-
-
-def gram_sets(texts: list[str | None], n: int, cache: Cache) -> list[np.ndarray]:
+def gram_sets(texts: list[str | None], n: int, hasher: WordHasher) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's word n-grams; of all its words as one if they are fewer; none without words."""
-    words = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
-    h = np.fromiter((cache[w] for ws in words for w in ws), U64)
-    out, at = [], 0
-    if len(h):
-        grams = np.zeros(max(0, len(h) - n + 1), U64)
-        for i in range(n):
-            grams = mix(grams + h[i : i + len(grams)] * U64(2 * i + 0x9E3779B97F4A7C15))
-    for ws in words:
-        k = len(ws)
-        if k >= n:
-            out.append(np.unique(grams[at : at + k - n + 1]))
+    h, begin = hasher(texts)
+    grams = np.zeros(max(0, len(h) - n + 1), U64)
+    for i in range(n):
+        grams = mix(grams + h[i : i + len(grams)] * U64(2 * i + 0x9E3779B97F4A7C15))
+    out = []
+    for a, b in itertools.pairwise(begin.tolist()):
+        if b - a >= n:
+            g = np.sort(grams[a : b - n + 1])
+            out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
         else:
-            out.append(np.array([mix(np.array([hash_all(h[at : at + k])], U64))[0]], U64) if k else np.zeros(0, U64))
-        at += k
+            out.append(np.array([hash_all(h[a:b])], U64) if b > a else np.zeros(0, U64))
     return out
 
 
@@ -56,11 +48,11 @@ def fingerprint(grams: np.ndarray) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], n: int, size: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    cache = word_hashes()
+    hasher = WordHasher()
     for b in batches:
         for at in range(0, b.num_rows, size):
             part = b.slice(at, size)
-            yield part, gram_sets(part.column(1).to_pylist(), n, cache)
+            yield part, gram_sets(part.column(1).to_pylist(), n, hasher)
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -131,7 +123,7 @@ def neighbours(docs: DataFrame, n: int, tenths: int, hot: Broadcast) -> DataFram
             for s in sets:
                 if len(s) and (fp := fingerprint(s)) not in seen:
                     seen.add(fp)
-                    sigs.append(r := np.unique(runs(s, *hot.value, tenths)))
+                    sigs.append(r := runs(s, *hot.value, tenths))
                     fps.append(np.full(len(r), fp, np.int64))
             if sigs:
                 yield arrow({"sig": np.concatenate(sigs).view(np.int64), "fp": np.concatenate(fps)}, kinds)
