@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, jaccard, mixing, packing, quality, sharding, tokens
+from quillon.llm import chat, jaccard, lattice, mixing, packing, quality, sharding, tokens
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
+def op6_e8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_prefix_sum_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_mixing, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
+    found = [op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_mixing, op6_e8_near_dedup, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
     return {f.__name__: f for f in found}
 
 
