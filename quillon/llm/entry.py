@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, jaccard, lattice, mixing, packing, quality, sharding, tokens
+from quillon.llm import chat, jaccard, lattice, mixing, packing, quality, sharding, suffix_tree, tokens
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "rule")
@@ -53,7 +57,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_mixing, op6_e8_near_dedup, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
+    found = [op1_token_counts, op2_best_fit_packing, op3_suffix_tree_scores, op4_quality_rules, op5_mixing, op6_e8_near_dedup, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
     return {f.__name__: f for f in found}
 
 
