@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, jaccard, lattice, mixing, packing, quality, sharding, suffix_tree, tokens
+from quillon.llm import chat, jaccard, lattice, mixing, packing, privacy, quality, sharding, suffix_tree, tokens
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +44,10 @@ def op6_e8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op7_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.spans(table(spark, sf_dir, "documents")))
+
+
 def op8_prefix_sum_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_best_fit_packing, op3_suffix_tree_scores, op4_quality_rules, op5_mixing, op6_e8_near_dedup, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
+    found = [op1_token_counts, op2_best_fit_packing, op3_suffix_tree_scores, op4_quality_rules, op5_mixing, op6_e8_near_dedup, op7_disclosure_sanitiser, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
     return {f.__name__: f for f in found}
 
 
