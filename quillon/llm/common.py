@@ -113,6 +113,19 @@ class Bloom:
             bits |= np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint8)
         return bits
 
+    @staticmethod
+    def maybe(bits: bytes, key: int) -> bool:
+        """has() for one key, without arrays."""
+        m = (1 << 64) - 1
+        x = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        x ^= x >> 31
+        for s in (0, 20, 40):
+            at = x >> s & Bloom.BITS - 1
+            if not bits[at >> 3] >> (7 - (at & 7)) & 1:
+                return False
+        return True
+
     @staticmethod
     def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         s = Bloom.slots(keys)

@@ -57,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], n: int, size: int = 512) -> Iterat
 
 def described(docs: DataFrame, n: int) -> DataFrame:
     """A row per document: id, set size, fingerprint of the set (null if empty); and rows of n-grams that are frequent in a task."""
-    kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "fp": pa.int64(), "gram": pa.int64(), "times": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "fp": pa.int64(), "gram": pa.int64(), "times": pa.int64()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -66,12 +66,12 @@ def described(docs: DataFrame, n: int) -> DataFrame:
             g, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
             g, c = g[c >= 4].view(np.int64), c[c >= 4]
             none = [None] * len(g)
-            return arrow({"doc_id": none, "n_shingles": none, "fp": none, "gram": g, "times": c}, kinds)
+            return arrow({"doc_id": none, "text_hash": none, "n_shingles": none, "fp": none, "gram": g, "times": c}, kinds)
 
         for b, sets in slices(batches, n):
             fps = [fingerprint(s) if len(s) else None for s in sets]
             none = [None] * len(fps)
-            yield arrow({"doc_id": b.column(0), "n_shingles": [len(s) for s in sets], "fp": fps, "gram": none, "times": none}, kinds)
+            yield arrow({"doc_id": b.column(0), "text_hash": b.column(2), "n_shingles": [len(s) for s in sets], "fp": fps, "gram": none, "times": none}, kinds)
             for fp, s in zip(fps, sets, strict=True):
                 if fp is not None and fp not in seen:
                     seen.add(fp)
@@ -84,7 +84,8 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                 seen.clear()
         yield frequent()
 
-    return docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, fp bigint, gram bigint, times bigint")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(describe, "doc_id bigint, text_hash bigint, n_shingles bigint, fp bigint, gram bigint, times bigint")
 
 
 def ordered(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -284,9 +285,31 @@ def join(docs: DataFrame, n: int = 3, tenths: int = 90, most_docs: int = MOST_DO
     Null and empty texts have no n-grams and link with nothing. Repeated rows and ids stay rows of their own; a
     component is named by its smallest id (null ids aside). An empty table gives an empty result.
     """
+    return placed(docs, n, tenths, most_docs, most_grams).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, n: int = 5, tenths: int = 80) -> DataFrame:
+    """One row of each component, the one of the smallest id, with the columns that it came with.
+
+    Rows are told apart by id and text, and of rows equal in both one stays. Rows with a null id stay.
+    """
+    found = placed(docs, n, tenths, MOST_DOCS, MOST_GRAMS)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "text_hash").distinct()
+    again = found.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = stored(gone.select("doc_id", "text_hash", F.lit(0).alias("__n")).union(again.select("doc_id", "text_hash", F.lit(1))))
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("__row"), docs["doc_id"].cast("bigint").alias("__id"), F.xxhash64(docs["text"].cast("string")).alias("__hash"))
+    marked = keyed.join(marks, (F.col("__id") == F.col("doc_id")) & (F.col("__hash") == F.col("text_hash")), "left").select("__row", "__id", "__hash", "__n")
+    once = marked.where(F.col("__n") == 1).groupBy("__id", "__hash").agg(F.first("__row").alias("__row")).select("__row")
+    kept = marked.where(F.col("__n").isNull()).select("__row").union(once)
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in names])
+
+
+def placed(docs: DataFrame, n: int, tenths: int, most_docs: int, most_grams: int) -> DataFrame:
+    """join() with text_hash, Spark's hash of the text, besides."""
     spark, docs = docs.sparkSession, documents(docs)
     found = stored(described(docs, n))
-    rows = found.where(F.col("gram").isNull()).select("doc_id", "n_shingles", "fp")
+    rows = found.where(F.col("gram").isNull()).select("doc_id", "text_hash", "n_shingles", "fp")
     top = found.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times")).where("times >= 32").orderBy(F.desc("times"), "gram").limit(LAST).collect()
     last = np.array([r.gram for r in top], np.int64).view(U64)
     rank = np.arange(len(top))[::-1]  # the most frequent at the very end
@@ -299,4 +322,4 @@ def join(docs: DataFrame, n: int = 3, tenths: int = 90, most_docs: int = MOST_DO
     named = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = named.join(least, "root").select("fp", "component_id")
-    return rows.join(whole, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(whole, "fp", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import U64, Bloom, arrow, documents, stored
+from quillon.llm.common import LOWER, U64, Bloom, Cache, arrow, documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a value that count as its context.
@@ -23,13 +24,18 @@ DISCLOSURE = 0.9
 
 # The stated patterns with possessive repeats and fixed starts, which match the same and stay linear on long runs.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_NO_TERM = re.compile(rb"[0-9@]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+#: So many revealing terms, a few MB, are broadcast.
+FEW_TERMS = 50_000
+
 Span = tuple[int, int, str]
 
 
@@ -44,7 +50,10 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) by start, then kind; leftmost non-overlapping matches of each kind that pass its test."""
     out: list[tuple[int, int, int]] = []
-    if "@" in text:
+    mail, digits = "@" in text, _DIGIT.search(text) is not None
+    if not (mail or digits):
+        return []
+    if mail:
         last = 0
         for m in _DOMAIN.finditer(text):
             start = m.start()
@@ -53,6 +62,8 @@ def base_spans(text: str) -> list[Span]:
             if start < m.start():
                 last = m.end()
                 out.append((start, 0, last))
+    if not digits:
+        return [(s, e, KINDS[k]) for s, k, e in out]
     out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -64,12 +75,10 @@ def base_spans(text: str) -> list[Span]:
     return [(s, e, KINDS[k]) for s, k, e in sorted(out)]
 
 
-def term(word: str) -> str | None:
+def term(word: bytes) -> bytes | None:
     """A word as a term: without punctuation at its ends, A-Z lower; None if short or with digits or an at sign."""
     t = word.strip(_EDGE)
-    if len(t) < 3 or "@" in t or any(c in "0123456789" for c in t):
-        return None
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    return None if len(t) < 3 or _NO_TERM.search(t) else t.translate(LOWER)
 
 
 def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, int, list[str]]]:
@@ -80,13 +89,20 @@ def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, int, list[str]
         left = _WORD.findall(text[max(0, start - 400) : start])[-REACH:]
         right = _WORD.findall(text[end : end + 400])[:REACH]
         h = xxhash.xxh3_64_intdigest("\x00".join([*left, "\x01", *right]).encode("utf-8", "surrogatepass"))
-        yield f"{kind}:{text[start:end]}", int(np.array(h, U64).view(np.int64)), sorted({t for w in left + right if (t := term(w))})
+        yield f"{kind}:{text[start:end]}", int(np.array(h, U64).view(np.int64)), sorted({t.decode("utf-8", "replace") for w in left + right if (t := term(w.encode("utf-8", "surrogatepass")))})
 
 
-def hashed(terms: list[str]) -> np.ndarray:
+def maybe_in(bits: np.ndarray) -> Callable[[bytes], str | None]:
+    """word -> its term, if a filter may hold that."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), U64, len(terms))
+    raw = bits.tobytes()
+
+    def look(word: bytes) -> str | None:
+        t = term(word)
+        return t.decode("utf-8", "replace") if t and Bloom.maybe(raw, xxhash.xxh3_64_intdigest(t)) else None
+
+    return look
 
 
 def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS) -> DataFrame:
@@ -115,29 +131,17 @@ def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS)
     of_entity = pairs.where(F.col("term") == "").select("entity", F.col("n").alias("n_entity"))
     candidates = pairs.where(F.col("term") != "").join(of_entity, "entity")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield arrow({"key": hashed(b.column(0).to_pylist()).view(np.int64)}, {"key": pa.int64()})
-
-    bits = docs.sparkSession.sparkContext.broadcast(Bloom.build(candidates.select("term").distinct().mapInArrow(keyed, "key bigint"), "key"))
+    bits = docs.sparkSession.sparkContext.broadcast(Bloom.build(candidates.select("term").distinct().mapInArrow(_keyed, "key bigint"), "key"))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = bool(bits.value.any())
+        known = Cache(maybe_in(bits.value))
         for b in batches:
-            words: Counter = Counter()
-            n = 0
-            for text in b.column(1).to_pylist():
-                found = (text or "").encode("utf-8", "surrogatepass").split()
-                n += len(found)
-                if filled:
-                    words.update(found)
             terms: Counter = Counter()
-            for w, c in words.items():
-                if t := term(w.decode("utf-8", "surrogatepass")):
-                    terms[t] += c
-            names = list(terms)
-            keep = np.flatnonzero(Bloom.has(bits.value, hashed(names))) if names else []
-            yield arrow({"term": ["", *(names[i] for i in keep)], "n": [n, *(terms[names[i]] for i in keep)]}, {"term": pa.string(), "n": pa.int64()})
+            for text in b.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                terms[""] += len(words)
+                terms.update(filter(None, map(known.__getitem__, words)))
+            yield arrow({"term": list(terms), "n": list(terms.values())}, {"term": pa.string(), "n": pa.int64()})
 
     counts = stored(docs.mapInArrow(totals, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")))
     total = (counts.where(F.col("term") == "").agg(F.sum("n_term")).first()[0] or 0) + 1
@@ -146,77 +150,100 @@ def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS)
     return stored(candidates.join(counts, "term").where(pmi >= reach * content).select("term").distinct())
 
 
-def term_spans(text: str, base: list[Span], terms: set[str]) -> list[Span]:
-    """Occurrences of terms outside the base spans."""
-    out, k = [], 0
+def term_spans(text: str, base: list[Span], terms: set[str] | frozenset[str]) -> list[Span]:
+    """Occurrences of terms outside the base spans, which come by their ends."""
+    out, k, edge = [], 0, _EDGE.decode()
     for m in _WORD.finditer(text):
         while k < len(base) and base[k][1] <= m.start():
             k += 1
         if k < len(base) and base[k][0] < m.end():
             continue
-        if (t := term(m[0])) in terms:
-            start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
-            out.append((start, start + len(t), "term"))
+        t = term(m[0].encode("utf-8", "surrogatepass"))
+        if t and t.decode("utf-8", "replace") in terms:
+            inner = m[0].strip(edge)
+            start = m.start() + m[0].index(inner)
+            out.append((start, start + len(inner), "term"))
     return out
 
 
-def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS) -> DataFrame:
-    """doc_id, text and ``spans``, an array of (start, end, kind) in code points by start, for every row.
+def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS, few: int = FEW_TERMS) -> DataFrame:
+    """doc_id, text, the whole row as ``row`` and ``spans``, an array of (start, end, kind) in code points by start, for every row.
 
-    Kinds are those of base_spans, and ``term`` for terms that reveal a protected value (see ``revealing``). Terms of a
-    text that may be revealing by a Bloom filter are joined with the exact list, so that nothing of unbounded size is
-    broadcast. Null text is empty and has no spans; repeated rows each keep theirs; an empty table gives none.
+    Kinds are those of base_spans, and ``term`` for terms that reveal a protected value (see ``revealing``). Up to
+    ``few`` terms are broadcast; of more, those that a text may hold by a Bloom filter are joined with the exact list,
+    so that nothing of unbounded size is broadcast. Null text is empty and has no spans; repeated rows each keep
+    theirs; an empty table gives none.
     """
-    docs = documents(docs)
+    names = [c for c in docs.columns if c != "text"]
+    docs, rest = documents(docs), docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), F.struct(*names).alias("row"))
+    kind = T.StructType([*rest.schema.fields, T.StructField("spans", T._parse_datatype_string("array<struct<start: bigint, end: bigint, kind: string>>"))])
     terms = revealing(docs, reach, least)
+    context = docs.sparkSession.sparkContext
+    if terms.count() <= few:
+        exact = context.broadcast(frozenset(r.term for r in terms.collect()))
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def look(word: bytes) -> bool:
+                t = term(word)
+                return bool(t) and t.decode("utf-8", "replace") in exact.value
+
+            known = Cache(look)
+            for b in batches:
+                found = []
+                for t in b.column(1).to_pylist():
+                    held = bool(exact.value) and any(map(known.__getitem__, (t or "").encode("utf-8", "surrogatepass").split()))
+                    found.append(_structs(with_terms(t or "", base_spans(t or ""), exact.value if held else frozenset())))
+                yield _with(b, 3, found)
+
+        return rest.mapInArrow(mark, kind)
+    bits = context.broadcast(Bloom.build(terms.mapInArrow(_keyed, "key bigint"), "key"))
+
+    def mark_maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, known = TaskContext.get().partitionId() << 40, Cache(maybe_in(bits.value))
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            maybe = [sorted(set(filter(None, map(known.__getitem__, t.encode("utf-8", "surrogatepass").split())))) for t in texts]
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows), pa.array(maybe, pa.list_(pa.string()))], names=[*b.schema.names, "number", "maybe"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield arrow({"key": hashed(b.column(0).to_pylist()).view(np.int64)}, {"key": pa.int64()})
+            found = [_structs(with_terms(t or "", base_spans(t or ""), frozenset(x or ()))) for t, x in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield _with(b, 3, found)
 
-    if terms.isEmpty():
-        return docs.mapInArrow(_mark, _MARKED).drop("row", "maybe")
-    bits = docs.sparkSession.sparkContext.broadcast(Bloom.build(terms.mapInArrow(keyed, "key bigint"), "key"))
-    marked = stored(docs.mapInArrow(lambda batches: _mark(batches, bits.value), _MARKED))
-    known = marked.select("row", F.explode("maybe").alias("term")).join(terms, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    return marked.join(known, "row", "left").select("doc_id", "text", "spans", "terms").mapInArrow(_add_terms, _SPANS)
+    more = T.StructType([*rest.schema.fields, T.StructField("number", T.LongType()), T.StructField("maybe", T.ArrayType(T.StringType()))])
+    marked = stored(rest.mapInArrow(mark_maybe, more))
+    known = marked.select("number", F.explode("maybe").alias("term")).join(terms, "term", "left_semi").groupBy("number").agg(F.collect_set("term").alias("terms"))
+    return marked.join(known, "number", "left").select("doc_id", "text", "row", "terms").mapInArrow(add, kind)
 
 
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-_SPANS = "doc_id bigint, text string, spans array<struct<start: bigint, end: bigint, kind: string>>"
-_MARKED = f"row bigint, {_SPANS}, maybe array<string>"
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for b in batches:
+        keys = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8")) for t in b.column(0).to_pylist()], U64)
+        yield arrow({"key": keys.view(np.int64)}, {"key": pa.int64()})
 
 
-def _structs(found: list[Span]) -> list[dict]:
-    return [{"start": s, "end": e, "kind": k} for s, e, k in found]
+def with_terms(text: str, base: list[Span], terms: frozenset[str]) -> list[Span]:
+    if not terms:
+        return base
+    more = term_spans(text, sorted(base, key=lambda s: s[1]), terms)
+    return sorted(base + more, key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
 
 
-def _mark(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
-    row = TaskContext.get().partitionId() << 40
-    for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        found, maybe = [_structs(base_spans(t)) for t in texts], []
-        for t in texts:
-            names = sorted({x for w in set(t.encode("utf-8", "surrogatepass").split()) if (x := term(w.decode("utf-8", "surrogatepass")))}) if bits is not None else []
-            maybe.append([names[i] for i in np.flatnonzero(Bloom.has(bits, hashed(names)))] if names else [])
-        rows = np.arange(row, row + len(texts))
-        row += len(texts)
-        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "spans": _SPAN, "maybe": pa.list_(pa.string())}
-        yield arrow({"row": rows, "doc_id": b.column(0), "text": b.column(1), "spans": found, "maybe": maybe}, kinds)
-
-
-def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, base, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            known = [(s["start"], s["end"], s["kind"]) for s in base]
-            if terms:
-                reach = sorted(known, key=lambda s: s[1])
-                known = sorted(known + term_spans(text or "", reach, set(terms)), key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
-            out.append(_structs(known))
-        yield arrow({"doc_id": b.column(0), "text": b.column(1), "spans": out}, {"doc_id": pa.int64(), "text": pa.string(), "spans": _SPAN})
+
+def _with(b: pa.RecordBatch, columns: int, found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns[:columns], pa.array(found, _SPAN)], names=[*b.schema.names[:columns], "spans"])
+
+
+def _structs(found: list[Span]) -> list[dict]:
+    return [{"start": s, "end": e, "kind": k} for s, e, k in found]
 
 
 def joined(found: list[Span]) -> str:
@@ -249,12 +276,14 @@ def generalised(text: str, found: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(found: DataFrame) -> DataFrame:
-    """doc_id and the sanitised text of ``spans``; null text stays null."""
+def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS) -> DataFrame:
+    """The rows as they came, but for spans generalised in ``text``; null text stays null."""
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else generalised(t, [(s["start"], s["end"], s["kind"]) for s in f]) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield arrow({"doc_id": b.column(0), "text": texts}, {"doc_id": pa.int64(), "text": pa.string()})
+            texts = [None if t is None else generalised(t, [(s["start"], s["end"], s["kind"]) for s in f]) for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], names=["text", "row"])
 
-    return found.select("doc_id", "text", "spans").mapInArrow(replace, "doc_id bigint, text string")
+    found = spans(docs, reach, least).select("text", "row", "spans")
+    done = found.mapInArrow(replace, T.StructType(found.schema.fields[:2]))
+    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import SPACE, U64, arrow, mix, stored
+from quillon.llm.common import SPACE, U64, documents, mix
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_distinct")
-KINDS = {"doc_id": pa.int64()} | dict.fromkeys(COUNTS, pa.int64())
 #: Ratios that rules may test; each is a count over a count, 0 where that is 0.
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -84,11 +84,23 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield arrow({"doc_id": b.column(0)} | dict(zip(COUNTS, columns, strict=True)), KINDS)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS for each row, in one pass without a shuffle. Null text counts as empty; ids may repeat."""
-    from quillon.llm.common import documents
+def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """All columns of the input and COUNTS after them, in one pass without a shuffle. Null text counts as empty.
 
-    return documents(docs).mapInArrow(count_batches, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    Columns of the input that have the name of an added one are replaced.
+    """
+    names = [prefix + c for c in COUNTS]
+    docs = docs.drop(*names)
+    at = docs.columns.index(text)
+
+    def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [text_counts(t or "") for t in b.column(at).to_pylist()]
+            columns = list(zip(*found, strict=True)) or [()] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*b.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    return docs.mapInArrow(count_batches, schema)
 
 
 def feature(name: str) -> Column:
@@ -187,20 +199,43 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Rule]:
+    """The decision list, learned from at most max_train labelled ids, those of the least hashes.
+
+    Only their texts are counted here. Rows that fail the base rules teach nothing. Labels with a null quality or id
+    are left out; of an id that is labelled twice the lower quality counts. Without usable labels there are no rules.
+    """
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min("quality").alias("quality"))
+    some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
+    texts = documents(docs).join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
+    rows = statistics(texts).where(~base_failed()).select("doc_id", *COUNTS, "quality").toPandas().sort_values(["doc_id", *COUNTS])
+    rows = rows.drop(columns="doc_id").to_numpy(dtype=np.int64)
+    return learn(rows[:, :-1], rows[:, -1] == 0) if len(rows) else []
+
+
+def verdict(rules: list[Rule]) -> Column:
+    """The number of the first rule that a text meets, as one conditional expression; null if it meets none."""
+    out = F.lit(None).cast("int")
+    for k, rule in reversed(list(enumerate(rules))):
+        out = F.when(rule.expression(), F.lit(k)).otherwise(out)
+    return out
+
+
 def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[DataFrame, list[Rule]]:
     """(one row per document with COUNTS, base_failed, rule and kept; the ordered rules).
 
-    The list is learned from at most max_train labelled rows that pass the base rules, those of the least id hashes.
-    ``rule`` is the number of the first rule that a text meets, else null; such texts aren't kept. Without usable
-    labels there are no rules, and the base rules alone decide. Labels with a null quality or id are left out; of an
-    id that is labelled twice the lower quality counts.
+    A text is kept unless it fails the base rules or meets a learned rule. Repeated rows are judged alike, each on its
+    own; an empty table gives an empty result.
     """
-    counted = stored(statistics(docs)).withColumn("base_failed", base_failed())
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    sample = counted.where(~F.col("base_failed")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(max_train)
-    rows = sample.select(*COUNTS, "quality").toPandas().to_numpy(dtype=np.int64)
-    rules = learn(rows[:, :-1], rows[:, -1] == 0) if len(rows) else []
-    verdict = F.lit(None).cast("int")
-    for k, rule in reversed(list(enumerate(rules))):
-        verdict = F.when(rule.expression(), F.lit(k)).otherwise(verdict)
-    return counted.withColumn("rule", verdict).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+    rules = fit(docs, labels, max_train)
+    counted = statistics(documents(docs)).drop("text").withColumn("base_failed", base_failed())
+    return counted.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+
+
+def keep(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows that judge() keeps, with the columns that they came with."""
+    rules = fit(docs, labels, max_train)
+    names = docs.columns
+    held = docs.select(F.struct(*names).alias("__row"), docs["text"].cast("string").alias("text"))
+    counted = statistics(held).where(~base_failed() & verdict(rules).isNull())
+    return counted.select(*[F.col("__row").getField(n).alias(n) for n in names])
