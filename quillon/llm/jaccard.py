@@ -100,17 +100,21 @@ def ordered(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray
 def runs(grams: np.ndarray, last: np.ndarray, rank: np.ndarray, tenths: int) -> np.ndarray:
     """Signatures of which two sets of Jaccard similarity t = tenths/100 or more share one, unless they are equal.
 
-    Let c be the size of the intersection and d of the symmetric difference: d <= c (1 - t) / t, and a set of n has
-    d <= n (1 - t) / t and at most n (1 - t) elements outside the other. Walk the union in the global order up to the
-    (d+2)-th common element: d others cut it into at most d + 1 runs, so two common elements are neighbours in both
-    sets. They lie within the first d + 2 + n (1 - t) elements; each pair of neighbours there is a signature.
+    Let c be the size of the intersection and d of the symmetric difference: d <= c (1 - t) / t, so d <= n (1 - t) / t
+    for a set of n, of which at most n (1 - t) lie outside the other. Walk the union in the global order up to common
+    element number 2 (d + 1) + 1: d others cut these into at most d + 1 runs, so three common elements are neighbours in
+    both sets. They lie within the first 2 (d + 1) + 1 + n (1 - t) elements; each three neighbours there are a signature.
+    That many common elements exist but for pairs with d < 3 (1 - t) / (3 t - 2), which for t >= 0.75 have at most 8
+    elements each; sets of that size also give pairs of neighbours, of which d + 2 common elements have one.
     """
     n = len(grams)
     d = n * (100 - tenths) // tenths
     if not d:
         return grams[:0]
-    o = ordered(grams, last, rank)[: d + 2 + n * (100 - tenths) // 100]
-    return mix(o[:-1] * U64(0x9E3779B97F4A7C15) + o[1:])
+    o = ordered(grams, last, rank)[: 2 * d + 3 + n * (100 - tenths) // 100]
+    pairs = mix(o[:-1] * U64(0x9E3779B97F4A7C15) + o[1:])
+    threes = mix(pairs[:-1] * U64(0xD6E8FEB86659FD93) + o[2:])
+    return np.concatenate([pairs, threes]) if n <= 8 else threes
 
 
 def neighbours(docs: DataFrame, n: int, tenths: int, hot: Broadcast) -> DataFrame:
@@ -285,6 +289,8 @@ def join(docs: DataFrame, n: int = 3, tenths: int = 90, most_docs: int = MOST_DO
     Null and empty texts have no n-grams and link with nothing. Repeated rows and ids stay rows of their own; a
     component is named by its smallest id (null ids aside). An empty table gives an empty result.
     """
+    if tenths < 75:
+        raise ValueError("similarities below 0.75 need longer signatures")
     return placed(docs, n, tenths, most_docs, most_grams).select("doc_id", "n_shingles", "component_id")
 
 
