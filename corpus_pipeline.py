@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packed),
 ]
 
-#: Learned rules, trees and tokenizers have no SQL form; the tests compare run() with a brute-force version.
+#: Learned rules and tokenizers have no SQL form; the stages' operators are each tested against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 16 bytes of whitespace-free separators as the contracts have them.
+#: ASCII white space, and the table that lower-cases A-Z alone.
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
