@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import LOWER, U64, arrow, documents, stored
 
 #: The longest context in bytes; with the next byte it must fit 64 bits.
 DEPTH = 5
-#: The model's size: the contexts of the largest divergence gain are kept, so that what is broadcast has a bound.
-MOST_STATES = 150_000
 #: The most frequent words, whose base scores are broadcast; all others are joined.
 HEAD = 1 << 17
-#: The most frequent windows, whose scores are worked out once and broadcast.
-MEMO = 400_000
+#: The most frequent windows, whose scores are broadcast; all others are joined.
+MEMO = 1_000_000
 #: A context needs so many occurrences, and this gain in nats plus so much for each next symbol that it has seen.
 SUPPORT, GAIN, GAIN_PER_SYMBOL = 8, 3.0, 1.5
 END = b"\n"
@@ -110,35 +107,81 @@ def gathered(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "word binary, window bigint, n bigint")
 
 
-def states(windows: DataFrame, most_states: int) -> tuple[DataFrame, DataFrame]:
-    """The most frequent windows, MEMO of them; and (k, key, c) of the root and the retained contexts: counts of each symbol after them, key being context and symbol.
+def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, at most so many, by a threshold from the histogram of logarithms of the counts."""
+    step = F.floor(F.log2(count) * 8)
+    left, least = most, None
+    for row in sorted(df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        left -= row.rows
+        if left < 0:
+            break
+        least = row.step
+    return df.where(F.lit(False) if least is None else step >= least)
 
-    A context of k bytes is retained if its next symbols diverge from those after its suffix of k - 1 bytes: its
-    occurrences times the divergence must reach GAIN and more for each symbol seen. Of those, the most_states of the
-    largest gain stay.
+
+def low(column: Column, size: int) -> Column:
+    return column.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def fit(top: DataFrame) -> tuple[list[DataFrame], float]:
+    """From the counts (key, n) of windows, for each context length k the rows (key, ctx, p, s, back), and the score of a symbol that never occurs.
+
+    key is a context of k bytes and a symbol that follows it in the training rows, ctx the context, p the symbol's
+    share there, s its log10 probability after the longest retained suffix of the context, and back the log10 weight
+    of what a retained context hasn't seen (null for others). P(s | u) = (c + d P(s | suffix)) / (N + d), with d the
+    number of symbols seen after u; the root mixes in one half of a count for each byte.
+
+    A context is retained if its next symbols diverge from those after its suffix of k - 1 bytes: its occurrences
+    times the divergence must reach GAIN and more for each symbol seen. All that do are kept, so the tree grows with
+    the corpus; it stays a table. A context has at most 256 rows, which is all that one group holds.
     """
-    level = windows.select(F.col("window").alias("key"), "n")
-    levels = {}
-    for k in range(DEPTH, -1, -1):
-        mask = (1 << 8 * (k + 1)) - 1
-        level = stored(level.groupBy((F.col("key").bitwiseAND(F.lit(mask)) if k < DEPTH else F.col("key")).alias("key")).agg(F.sum("n").alias("n")))
-        levels[k] = level
-    root = levels[0].select(F.lit(0).alias("k"), "key", F.col("n").alias("c"))
-    gains, counts = None, root
-    for k in range(1, DEPTH + 1):
-        of = lambda name: F.shiftrightunsigned(name, 8)
-        sums = levels[k].groupBy(of("key").alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= SUPPORT)
-        above = levels[k - 1].groupBy(of("key").alias("pctx")).agg(F.sum("n").alias("ptotal"))
-        parent = levels[k - 1].withColumn("pctx", of("key")).join(above, "pctx").select(F.col("key").alias("pkey"), (F.col("n") / F.col("ptotal")).alias("p"))
-        rows = levels[k].withColumn("ctx", of("key")).join(sums, "ctx").withColumn("pkey", F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(parent, "pkey")
-        gain = rows.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("gain"), F.first("kinds").alias("kinds"))
-        gain = gain.where(F.col("gain") >= GAIN + GAIN_PER_SYMBOL * F.col("kinds")).select(F.lit(k).alias("k"), "ctx", "gain")
-        gains = gain if gains is None else gains.union(gain)
-    best = stored(gains.orderBy(F.desc("gain"), "k", "ctx").limit(most_states))
+    of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low(F.col("key"), k + 1).alias("key")) for k in range(DEPTH)])).alias("e")
+    rest = stored(top.select(of, "n").groupBy(F.col("e.k").alias("k"), F.col("e.key").alias("key")).agg(F.sum("n").alias("n")))
+    total = rest.where(F.col("k") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = F.col("n") / F.lit(float(max(total, 1)))
+    root = rest.where(F.col("k") == 0).select("key", F.lit(0).cast("bigint").alias("ctx"), share.alias("p"), F.log10((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("s"), F.lit(None).cast("double").alias("back"))
+    levels = [stored(root)]
+    group = Window.partitionBy("ctx")
     for k in range(1, DEPTH + 1):
-        kept = best.where(F.col("k") == k).select("ctx")
-        counts = counts.union(levels[k].withColumn("ctx", F.shiftrightunsigned("key", 8)).join(kept, "ctx", "left_semi").select(F.lit(k), "key", "n"))
-    return levels[DEPTH].orderBy(F.desc("n"), "key").limit(MEMO).select("key"), counts
+        here = (top if k == DEPTH else rest.where(F.col("k") == k)).select("key", "n", F.shiftrightunsigned("key", 8).alias("ctx"), low(F.col("key"), k).alias("below"))
+        rows = here.join(levels[-1].select(F.col("key").alias("below"), F.col("p").alias("p_below"), F.col("s").alias("s_below")), "below")
+        rows = rows.withColumn("total", F.sum("n").over(group)).withColumn("kinds", F.count(F.lit(1)).over(group))
+        rows = rows.withColumn("gain", F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p_below"))).over(group))
+        kept = (F.col("total") >= SUPPORT) & (F.col("gain") >= GAIN + GAIN_PER_SYMBOL * F.col("kinds"))
+        mixed = F.log10((F.col("n") + F.col("kinds") * F.pow(F.lit(10.0), "s_below")) / (F.col("total") + F.col("kinds")))
+        back = F.when(kept, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))))
+        levels.append(stored(rows.select("key", "ctx", (F.col("n") / F.col("total")).alias("p"), F.when(kept, mixed).otherwise(F.col("s_below")).alias("s"), back.alias("back"))))
+    return levels, float(np.log10(0.5 / (total + 128)))
+
+
+def unseen(windows: DataFrame, levels: list[DataFrame], never: float) -> DataFrame:
+    """(window, s) for distinct windows outside the training rows.
+
+    The score of the longest suffix seen, and the back weights of the retained contexts longer than that. Suffixes of
+    two bytes, of which there are at most 65,536, are broadcast; longer ones are joined.
+    """
+    parts = [(k + 1, k, False) for k in range(DEPTH)] + [(k, k, True) for k in range(1, DEPTH + 1)]
+    key = lambda k, ctx: low(F.shiftrightunsigned("window", 8), k) if ctx else low(F.col("window"), k + 1)
+
+    def rows_of(short: bool) -> tuple[DataFrame, DataFrame]:
+        asked, held = [], None
+        for size, k, ctx in parts:
+            if (size <= 2) == short:
+                asked.append(F.struct(F.lit(k).alias("k"), F.lit(ctx).alias("is_ctx"), key(k, ctx).alias("key")))
+                own = levels[k].where(F.col("back").isNotNull()).groupBy(F.col("ctx").alias("key")).agg(F.first("back").alias("s")) if ctx else levels[k].select("key", "s")
+                own = own.select(F.lit(k).alias("k"), F.lit(ctx).alias("is_ctx"), "key", "s")
+                held = own if held is None else held.union(own)
+        return windows.select("window", F.explode(F.array(*asked)).alias("e")).select("window", "e.*"), held
+
+    (few_asked, few), (asked, held) = rows_of(True), rows_of(False)
+    on = ["k", "is_ctx", "key"]
+    found = few_asked.join(F.broadcast(few), on).union(asked.join(held, on))
+    pair = F.struct("k", "s")
+    by = found.groupBy("window").agg(F.max(F.when(~F.col("is_ctx"), pair)).alias("best"), F.collect_list(F.when(F.col("is_ctx"), pair)).alias("backs"))
+    start = F.coalesce(F.col("best.s"), F.lit(never))
+    longest = F.coalesce(F.col("best.k"), F.lit(-1))
+    s = F.aggregate(F.array_sort(F.filter("backs", lambda x: x["k"] > longest)), start, lambda a, x: a + x["s"])
+    return windows.join(by.select("window", s.alias("s")), "window", "left").select("window", F.coalesce("s", F.lit(never)).alias("s"))
 
 
 class Table:
@@ -172,75 +215,14 @@ class Table:
         return out
 
 
-class Tree:
-    """The fitted tree: for each context length the symbols' log10 probabilities and the weight of what a state hasn't seen.
-
-    P(s | u) = (c + d P(s | suffix)) / (N + d), with d the number of symbols seen after u and the suffix the longest
-    retained one; the root mixes in one half of a count for each byte.
-    """
-
-    def __init__(self, k: np.ndarray, key: np.ndarray, c: np.ndarray) -> None:
-        self.memo: tuple[Table, np.ndarray] | None = None
-        self.levels: list[tuple[Table, np.ndarray, Table, np.ndarray]] = []
-        self.root = np.full(256, 0.5)
-        at = k == 0
-        self.root[key[at].astype(int)] += c[at]
-        self.root = np.log10(self.root / self.root.sum())
-        for level in range(1, DEPTH + 1):
-            at = k == level
-            keys, n = key[at].astype(U64), c[at].astype(float)
-            ctx, of = np.unique(keys >> U64(8), return_inverse=True)
-            total, kinds = np.bincount(of, n, len(ctx)), np.bincount(of, minlength=len(ctx))
-            below = 10 ** self.score(keys & U64((1 << 8 * level) - 1)) if len(keys) else np.zeros(0)
-            p = np.log10((n + kinds[of] * below) / (total + kinds)[of])
-            self.levels.append((Table(keys), p, Table(ctx), np.log10(kinds / (total + kinds))))
-
-    def remember(self, windows: np.ndarray) -> None:
-        """Keeps the scores of frequent windows, which are then found in one step."""
-        self.memo = Table(windows), self.score(windows)
-
-    def score(self, windows: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each window after the longest retained suffix of what precedes it."""
-        out = np.zeros(len(windows))
-        left = np.arange(len(windows))
-        if self.memo and len(self.memo[1]):
-            at = self.memo[0].find(windows)
-            out = np.where(at >= 0, self.memo[1][at], 0.0)
-            left = np.flatnonzero(at < 0)
-        for level in range(len(self.levels), 0, -1):
-            if not len(left):
-                break
-            keys = windows[left]
-            if level < DEPTH:
-                keys = keys & U64((1 << 8 * (level + 1)) - 1)
-            table, p, contexts, back = self.levels[level - 1]
-            state = contexts.find(keys >> U64(8))
-            known = np.flatnonzero(state >= 0)
-            symbol = table.find(keys[known])
-            seen = symbol >= 0
-            out[left[known[seen]]] += p[symbol[seen]]
-            out[left[known[~seen]]] += back[state[known[~seen]]]
-            stay = np.ones(len(left), bool)
-            stay[known[seen]] = False
-            left = left[stay]
-        out[left] += self.root[(windows[left] & U64(255)).astype(int)]
-        return out
-
-
-def fit(frequent: DataFrame, counts: DataFrame) -> Tree:
-    got = counts.toArrow()
-    tree = Tree(got["k"].to_numpy(), got["key"].to_numpy().view(U64), got["c"].to_numpy())
-    tree.remember(frequent.toArrow()["key"].to_numpy().view(U64))
-    return tree
-
-
-def score(docs: DataFrame, most_states: int = MOST_STATES, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, memo: int = MEMO) -> DataFrame:
     """Scores every row; learns from the rows whose crc32 of the id as text isn't divisible by 10.
 
     The tree predicts the bytes of the lower-cased words, joined by blanks and closed by an end, which is the same
     as predicting the words: score is their log10 probability. Counts of all words and of all windows of the training
-    rows are summed per task, then shuffled; the retained contexts (at most ``most_states``) are broadcast. Base
-    scores of the ``head`` most frequent words are broadcast, those of all other words joined, so both are exact.
+    rows are summed per task, then shuffled; the tree is a table of all retained contexts, of any number. The scores
+    of at most ``head`` frequent words and ``memo`` frequent windows are broadcast; those of all others are joined,
+    so the bounds change no result.
 
     Null text is empty and scores its end alone; a null id counts as empty text, so it is held out. Repeated rows
     are scored and counted as often as they occur. Without training rows every byte is equally likely, and base
@@ -251,50 +233,73 @@ def score(docs: DataFrame, most_states: int = MOST_STATES, head: int = HEAD) ->
     marked = documents(docs).withColumn("held_out", held)
     found = stored(gathered(marked.where(~held)))
     words = stored(found.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")))
-    tree = fit(*states(found.where(F.col("window").isNotNull()), most_states))
+    windows = stored(found.where(F.col("window").isNotNull()).groupBy(F.col("window").alias("key")).agg(F.sum("n").alias("n")))
+    levels, never = fit(windows)
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     norm = np.log10(total + 0.1 * (kinds + 1))
-    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    top = frequent(words, "c", head).toArrow()
     heads = dict(zip(top["word"].to_pylist(), (np.log10(top["c"].to_numpy() + 0.1) - norm).tolist(), strict=True))
-    model, known = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(heads)
-    kinds_out = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "word": pa.binary()}
+    often = frequent(windows, "n", memo).select("key").join(levels[DEPTH].select("key", "s"), "key").toArrow()
+    model = spark.sparkContext.broadcast((Table(often["key"].to_numpy().view(U64)), often["s"].to_numpy()))
+    known = spark.sparkContext.broadcast(heads)
+    kinds_out = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "word": pa.binary(), "window": pa.int64()}
+
+    def only(size: int, **columns: list | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds_out.items()], names=list(kinds_out))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, get, tree = TaskContext.get().partitionId() << 40, known.value.get, model.value
+        row, get, (table, scores) = TaskContext.get().partitionId() << 40, known.value.get, model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 b = batch.slice(at, 128)
-                texts, ids, held_out = tokens_of(b.column(1).to_pylist()), b.column(0).to_pylist(), b.column(2).to_pylist()
+                texts, held_out = tokens_of(b.column(1).to_pylist()), b.column(2).to_numpy(zero_copy_only=False)
+                numbers = np.arange(row, row + b.num_rows)
+                row += b.num_rows
                 windows, size = symbols(texts)
-                scores = np.add.reduceat(tree.score(windows), np.cumsum(size) - size)
-                out = {k: [] for k in kinds_out}
-                for i, tokens in enumerate(texts):
+                slot = table.find(windows)
+                hit = slot >= 0
+                each = np.zeros(len(windows))
+                each[hit] = scores[slot[hit]]
+                bases, n_known, words, of, n = [], [], [], [], []
+                for number, tokens in zip(numbers.tolist(), texts, strict=True):
                     tokens.append(END)
-                    base, rare = list(map(get, tokens)), {}
+                    base = list(map(get, tokens))
                     if None in base:
                         rare = Counter([w for w, v in zip(tokens, base, strict=True) if v is None])
                         base = [v for v in base if v is not None]
-                    values = (row, ids[i], held_out[i], len(tokens), len(base), sum(base), scores[i], None)
-                    for name, v in zip(kinds_out, values, strict=True):
-                        out[name].append(v)
-                    for w, n in rare.items():
-                        for name, v in zip(kinds_out, (row, None, None, n, None, None, None, w), strict=True):
-                            out[name].append(v)
-                    row += 1
-                yield arrow(out, kinds_out)
-
-    rated = stored(marked.mapInArrow(rate, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, word binary"))
-    rare = rated.where(F.col("word").isNotNull()).select("row", "word", F.col("n_tokens").alias("n")).join(words, "word", "left")
+                        words += rare
+                        of += [number] * len(rare)
+                        n += rare.values()
+                    bases.append(sum(base))
+                    n_known.append(len(base))
+                yield only(b.num_rows, row=numbers, doc_id=b.column(0), held_out=held_out, n=list(map(len, texts)), n_known=n_known, base_score=bases, score=np.add.reduceat(each, np.cumsum(size) - size))
+                if words:
+                    yield only(len(words), row=of, n=n, word=words)
+                if not hit.all():
+                    text, left = np.repeat(np.arange(b.num_rows), size)[~hit], windows[~hit]
+                    order = np.lexsort((left, text))
+                    text, left = text[order], left[order]
+                    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (left[1:] != left[:-1])]))
+                    yield only(len(cut), row=numbers[text[cut]], held_out=held_out[text[cut]], n=np.diff(np.append(cut, len(left))), window=left[cut].view(np.int64))
+
+    rated = stored(marked.mapInArrow(rate, "row bigint, doc_id bigint, held_out boolean, n bigint, n_known bigint, base_score double, score double, word binary, window bigint"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known"), F.sum(F.col("n") * (F.log10(c + F.lit(0.1)) - F.lit(float(norm)))).alias("rest_score"))
-    return rated.where(F.col("word").isNull()).join(rest, "row", "left").select(
+    none = F.lit(0.0)
+    of_words = rated.where(F.col("word").isNotNull()).select("row", "word", "n").join(words, "word", "left").select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * (F.log10(c + F.lit(0.1)) - F.lit(float(norm)))).alias("base"), none.alias("s"))
+    rare = rated.where(F.col("window").isNotNull()).select("row", "held_out", "window", "n")
+    seen = levels[DEPTH].select(F.col("key").alias("window"), "s")
+    # Only held-out rows have windows that the tree's table lacks.
+    fresh = stored(rare.where("held_out").select("window").distinct().join(seen, "window", "left_anti"))
+    of_windows = rare.join(seen.union(unseen(fresh, levels, never)), "window").select("row", F.lit(0).cast("bigint").alias("known"), none.alias("base"), (F.col("n") * F.col("s")).alias("s"))
+    rest = of_words.union(of_windows).groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("s").alias("s"))
+    return rated.where(F.col("word").isNull() & F.col("window").isNull()).join(rest, "row", "left").select(
         "doc_id",
         "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
+        F.col("n").alias("n_tokens"),
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )

@@ -109,7 +109,7 @@ def test_plan_is_best_fit_decreasing():
 
 
 def test_suffix_tree(docs, empty):
-    got = suffix_tree.score(docs, most_states=50, head=5).collect()
+    got = suffix_tree.score(docs, head=5, memo=50).collect()
     rows = data(docs)
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     toks = [(d, [w.translate(LOWER) for w in words(t)] + [b"\n"]) for d, t in rows]
@@ -117,23 +117,47 @@ def test_suffix_tree(docs, empty):
     n, v = sum(count.values()), len(count)
     want = sorted((-1 if d is None else d, held(d), len(ts), sum(count[w] > 0 for w in ts), n, round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts), 6)) for d, ts in toks)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got) * 1.6
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) * 1.6
+    after = brute_tree([ts for d, ts in toks if not held(d)])
+    total = lambda ts: sum(math.log10(after(w[:-1], w[-1])) for w in byte_windows(ts))
+    scores = sorted(round(total(ts), 5) for d, ts in toks)
+    assert sorted(round(r.score, 5) for r in got) == scores
+    for head, memo in ((10**6, 10**6), (0, 0)):
+        assert sorted(round(r.score, 5) for r in suffix_tree.score(docs, head=head, memo=memo).collect()) == scores
     assert suffix_tree.score(empty).count() == 0
 
 
-def test_tree_probabilities_sum_to_one():
-    text = [[b"abra", b"cadabra"], [b"abracadabra"]] * 20
-    w, _ = suffix_tree.symbols(text)
-    k, key, c = [], [], []
-    for level in range(suffix_tree.DEPTH + 1):
-        u, n = np.unique(w & np.uint64((1 << 8 * (level + 1)) - 1), return_counts=True)
-        k += [level] * len(u)
-        key += u.tolist()
-        c += n.tolist()
-    tree = suffix_tree.Tree(np.array(k), np.array(key, np.uint64), np.array(c))
-    for context in (b"\n\n\n\n\n", b" abra", b"zzzab"):
-        at = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert abs((10 ** tree.score(at)).sum() - 1) < 1e-9
+def byte_windows(tokens):
+    row = b"\n" * suffix_tree.DEPTH + b" ".join(tokens[:-1]) + b"\n"
+    return [row[i : i + suffix_tree.DEPTH + 1] for i in range(len(row) - suffix_tree.DEPTH)]
+
+
+def brute_tree(texts):
+    """P(symbol | context) of the suffix tree, from counts of each suffix's next symbols."""
+    nexts = defaultdict(Counter)
+    for t in texts:
+        for w in byte_windows(t):
+            for k in range(suffix_tree.DEPTH + 1):
+                nexts[w[suffix_tree.DEPTH - k : -1]][w[-1]] += 1
+
+    def retained(u):
+        seen, total, below = nexts[u], sum(nexts[u].values()), nexts[u[1:]]
+        gain = sum(n * math.log(n / total / (below[s] / sum(below.values()))) for s, n in seen.items())
+        return total >= suffix_tree.SUPPORT and gain >= suffix_tree.GAIN + suffix_tree.GAIN_PER_SYMBOL * len(seen)
+
+    kept = {u for u in list(nexts) if u and retained(u)}
+    assert len({len(u) for u in kept}) == suffix_tree.DEPTH
+
+    def after(u, symbol):
+        if not u:
+            return (nexts[u][symbol] + 0.5) / (sum(nexts[u].values()) + 128)
+        if u not in kept:
+            return after(u[1:], symbol)
+        d, total = len(nexts[u]), sum(nexts[u].values())
+        return (nexts[u][symbol] + d * after(u[1:], symbol)) / (total + d)
+
+    assert abs(sum(after(b" alph", s) for s in range(256)) - 1) < 1e-9 and abs(sum(after(b"zzz a", s) for s in range(256)) - 1) < 1e-9
+    return after
 
 
 def brute_counts(text):
