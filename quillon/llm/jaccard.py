@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Bloom, Forest, WordHasher, arrow, by_key, components, documents, grouped, mix, stored
+from quillon.llm.common import U64, Bloom, Forest, WordHasher, arrow, by_key, components, documents, grouped, mix, stored, trimmed
 
 #: N-grams of the greatest document frequency that come last in the global order; a bound on what is broadcast.
 LAST = 1 << 17
@@ -47,12 +47,16 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(grams.tobytes()), U64).view(np.int64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], n: int, size: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def slices(batches: Iterator[pa.RecordBatch], n: int, most: int = 512, most_bytes: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of batches with their sets, of so many rows and text bytes (a longer text stands alone)."""
     hasher = WordHasher()
     for b in batches:
-        for at in range(0, b.num_rows, size):
-            part = b.slice(at, size)
-            yield part, gram_sets(part.column(1).to_pylist(), n, hasher)
+        texts, at, size = b.column(1).to_pylist(), 0, 0
+        for i, t in enumerate([*texts, None]):
+            size += len(t or "")
+            if i > at and (i == len(texts) or i - at == most or size > most_bytes):
+                yield b.slice(at, i - at), gram_sets(texts[at:i], n, hasher)
+                at, size = i, len(t or "")
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -85,7 +89,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
         yield frequent()
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(describe, "doc_id bigint, text_hash bigint, n_shingles bigint, fp bigint, gram bigint, times bigint")
+    return hashed.mapInArrow(trimmed(describe), "doc_id bigint, text_hash bigint, n_shingles bigint, fp bigint, gram bigint, times bigint")
 
 
 def ordered(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -150,8 +154,8 @@ def neighbours(docs: DataFrame, n: int, tenths: int, hot: Broadcast) -> DataFram
             both = np.unique(np.stack([owner[keep], f[keep]]), axis=1)
             yield arrow({"a": both[0], "b": both[1]}, {"a": pa.int64(), "b": pa.int64()})
 
-    signed = docs.mapInArrow(sign, "sig bigint, fp bigint")
-    return by_key(signed, "sig", "fp").mapInArrow(first_of_each, "a bigint, b bigint").distinct()
+    signed = docs.mapInArrow(trimmed(sign), "sig bigint, fp bigint")
+    return by_key(signed, "sig", "fp").mapInArrow(trimmed(first_of_each), "a bigint, b bigint").distinct()
 
 
 def trie_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, tenths: int) -> list[tuple[int, int]]:
@@ -254,7 +258,7 @@ def linked(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int, ten
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    sets = docs.mapInArrow(sets_of, "fp bigint, grams binary").join(placed, "fp")
+    sets = docs.mapInArrow(trimmed(sets_of), "fp bigint, grams binary").join(placed, "fp")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = sets.select("fp", "grams", "root", "block", other.alias("other")).select(
         F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "fp", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("alone"), "grams"
@@ -274,7 +278,7 @@ def linked(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int, ten
                 a, b = zip(*found, strict=True)
                 yield arrow({"a": fps[list(a)], "b": fps[list(b)]}, {"a": pa.int64(), "b": pa.int64()})
 
-    return by_key(units, "unit", "fp").mapInArrow(compare, "a bigint, b bigint")
+    return by_key(units, "unit", "fp").mapInArrow(trimmed(compare), "a bigint, b bigint")
 
 
 def join(docs: DataFrame, n: int = 3, tenths: int = 90, most_docs: int = MOST_DOCS, most_grams: int = MOST_GRAMS) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Cache, arrow, documents, stored
+from quillon.llm.common import Cache, arrow, documents, stored, trimmed
 
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
@@ -81,7 +81,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                         out[name].append(value)
             yield arrow(out, PIECE)
 
-    return documents(docs).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
+    return documents(docs).mapInArrow(trimmed(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
 
 
 class Tightest:
@@ -191,6 +191,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             offset = steps["offset"][step] + along % steps["per"][step] * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*list(PIECE)[:5], "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return numbered.mapInArrow(trimmed(place), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import LOWER, U64, Bloom, Cache, arrow, documents, stored
+from quillon.llm.common import LOWER, U64, Bloom, Cache, arrow, documents, stored, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a value that count as its context.
@@ -126,7 +126,7 @@ def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS)
                             out[k].append(v)
             yield arrow(out, kinds)
 
-    pairs = docs.mapInArrow(near, "entity string, context bigint, term string").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    pairs = docs.mapInArrow(trimmed(near), "entity string, context bigint, term string").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     pairs = stored(pairs)
     of_entity = pairs.where(F.col("term") == "").select("entity", F.col("n").alias("n_entity"))
     candidates = pairs.where(F.col("term") != "").join(of_entity, "entity")
@@ -143,7 +143,7 @@ def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS)
                 terms.update(filter(None, map(known.__getitem__, words)))
             yield arrow({"term": list(terms), "n": list(terms.values())}, {"term": pa.string(), "n": pa.int64()})
 
-    counts = stored(docs.mapInArrow(totals, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")))
+    counts = stored(docs.mapInArrow(trimmed(totals), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")))
     total = (counts.where(F.col("term") == "").agg(F.sum("n_term")).first()[0] or 0) + 1
     pmi = F.log(F.lit(float(total)) * F.col("n") / (F.col("n_entity") * F.greatest("n", "n_term")))
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
@@ -195,7 +195,7 @@ def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS, few
                     found.append(_structs(with_terms(t or "", base_spans(t or ""), exact.value if held else frozenset())))
                 yield _with(b, 3, found)
 
-        return rest.mapInArrow(mark, kind)
+        return rest.mapInArrow(trimmed(mark), kind)
     bits = context.broadcast(Bloom.build(terms.mapInArrow(_keyed, "key bigint"), "key"))
 
     def mark_maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,5 +285,5 @@ def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], names=["text", "row"])
 
     found = spans(docs, reach, least).select("text", "row", "spans")
-    done = found.mapInArrow(replace, T.StructType(found.schema.fields[:2]))
+    done = found.mapInArrow(trimmed(replace), T.StructType(found.schema.fields[:2]))
     return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import SPACE, U64, documents, mix
+from quillon.llm.common import SPACE, U64, documents, mix, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -100,7 +100,7 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*b.schema.names, *names])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    return docs.mapInArrow(count_batches, schema)
+    return docs.mapInArrow(trimmed(count_batches), schema)
 
 
 def feature(name: str) -> Column:
