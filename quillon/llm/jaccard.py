@@ -122,40 +122,49 @@ def runs(grams: np.ndarray, last: np.ndarray, rank: np.ndarray, tenths: int) ->
 
 
 def neighbours(docs: DataFrame, n: int, tenths: int, hot: Broadcast) -> DataFrame:
-    """(a, b): fingerprints that share a signature, each with the least of its signature; each task sends a set once."""
-    kinds = {"sig": pa.int64(), "fp": pa.int64()}
+    """(a, b): fingerprints that share a signature, enough to connect those of similar size; each task sends a set once.
+
+    Similar sets' sizes differ by a factor of at most 100 / tenths. Under a signature, sorted by size, each set is
+    linked with the first of its band of sizes, and the first of a band with the set before it, if that is large
+    enough. So sets of unlike sizes that share a passage don't join candidate clusters.
+    """
+    kinds = {"sig": pa.int64(), "size": pa.int32(), "fp": pa.int64()}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in slices(batches, n):
-            sigs, fps = [], []
+            sigs, sizes, fps = [], [], []
             for s in sets:
                 if len(s) and (fp := fingerprint(s)) not in seen:
                     seen.add(fp)
                     sigs.append(r := runs(s, *hot.value, tenths))
+                    sizes.append(np.full(len(r), len(s), np.int32))
                     fps.append(np.full(len(r), fp, np.int64))
             if sigs:
-                yield arrow({"sig": np.concatenate(sigs).view(np.int64), "fp": np.concatenate(fps)}, kinds)
+                yield arrow({"sig": np.concatenate(sigs).view(np.int64), "size": np.concatenate(sizes), "fp": np.concatenate(fps)}, kinds)
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = first = None
+    def near_in_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig = size = band = fp = first = None
         for b in batches:
             if not b.num_rows:
                 continue
-            s, f = (b.column(i).to_numpy() for i in (0, 1))
-            new = np.concatenate([[s[0] != sig], s[1:] != s[:-1]])
-            starts = np.flatnonzero(new)
-            lead = np.concatenate([[f[0] if new[0] else first], f[starts[starts > 0]]])
-            owner = lead[np.cumsum(new) - int(new[0])]
-            sig, first = s[-1], owner[-1]
+            s, z, f = (b.column(i).to_numpy() for i in (0, 1, 2))
+            g = (np.log(z) / np.log(100 / tenths)).astype(np.int64)
+            as_before = np.concatenate([[s[0] == sig], s[1:] == s[:-1]])
+            starts = ~(as_before & np.concatenate([[g[0] == band], g[1:] == g[:-1]]))
+            at = np.flatnonzero(starts)
+            owner = (f[at] if starts[0] else np.concatenate([[first], f[at]]))[np.cumsum(starts) - int(starts[0])]
+            before_size, before = (np.concatenate([[x[0] if y is None else y], x[:-1]]) for x, y in ((z, size), (f, fp)))
+            bridge = starts & as_before & (before_size.astype(np.int64) * 100 >= z.astype(np.int64) * tenths)
+            sig, size, band, fp, first = s[-1], z[-1], g[-1], f[-1], owner[-1]
             keep = owner != f
-            both = np.unique(np.stack([owner[keep], f[keep]]), axis=1)
+            both = np.unique(np.stack([np.concatenate([owner[keep], before[bridge]]), np.concatenate([f[keep], f[bridge]])]), axis=1)
             yield arrow({"a": both[0], "b": both[1]}, {"a": pa.int64(), "b": pa.int64()})
 
-    signed = docs.mapInArrow(trimmed(sign), "sig bigint, fp bigint")
-    return by_key(signed, "sig", "fp").mapInArrow(trimmed(first_of_each), "a bigint, b bigint").distinct()
+    signed = docs.mapInArrow(trimmed(sign), "sig bigint, size int, fp bigint")
+    return by_key(signed, "sig", "size", "fp").mapInArrow(trimmed(near_in_size), "a bigint, b bigint").distinct()
 
 
 def trie_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, tenths: int) -> list[tuple[int, int]]:
