@@ -15,10 +15,8 @@ from pyspark.sql import types as T
 from quillon.llm.common import LOWER, U64, Bloom, Cache, arrow, documents, stored, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a value that count as its context.
-REACH = 5
-#: A term must occur in so many different contexts of a value.
-CONTEXTS = 3
+#: A term must occur with a value on so many lines.
+LINES = 3
 #: The share of a value's information content that a term may reveal: pointwise mutual information over -log p(value).
 DISCLOSURE = 0.9
 
@@ -30,7 +28,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_NO_TERM = re.compile(rb"[0-9@]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: So many revealing terms, a few MB, are broadcast.
@@ -76,20 +73,53 @@ def base_spans(text: str) -> list[Span]:
 
 
 def term(word: bytes) -> bytes | None:
-    """A word as a term: without punctuation at its ends, A-Z lower; None if short or with digits or an at sign."""
+    """A word as a term: without punctuation at its ends, A-Z lower; None if short."""
     t = word.strip(_EDGE)
-    return None if len(t) < 3 or _NO_TERM.search(t) else t.translate(LOWER)
+    return None if len(t) < 3 else t.translate(LOWER)
 
 
-def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, int, list[str]]]:
-    """(value, hash of its context, terms there) for each base span. A very long word counts as no term."""
-    import xxhash
+def entity(kind: str, value: str) -> str:
+    """A value under one spelling: addresses in lower case, numbers without signs, zeros before an address' parts or blanks."""
+    if kind == "email":
+        return f"{kind}:{value.lower()}"
+    return f"{kind}:" + (".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else "".join(c for c in value if c in "0123456789"))
+
+
+def lines_of(text: str, base: list[Span]) -> Iterator[tuple[str, list[Span], set[str]]]:
+    """(line, base spans in the line, entities there) for every line that isn't blank. No base span has a line end in it."""
+    at, k = 0, 0
+    base = sorted(base)
+    for line in text.split("\n"):
+        end, own = at + len(line), []
+        while k < len(base) and base[k][0] < end:
+            own.append((base[k][0] - at, base[k][1] - at, base[k][2]))
+            k += 1
+        at = end + 1
+        if _WORD.search(line):
+            yield line, own, {entity(kind, line[s:e]) for s, e, kind in own}
+
 
-    for start, end, kind in spans:
-        left = _WORD.findall(text[max(0, start - 400) : start])[-REACH:]
-        right = _WORD.findall(text[end : end + 400])[:REACH]
-        h = xxhash.xxh3_64_intdigest("\x00".join([*left, "\x01", *right]).encode("utf-8", "surrogatepass"))
-        yield f"{kind}:{text[start:end]}", int(np.array(h, U64).view(np.int64)), sorted({t.decode("utf-8", "replace") for w in left + right if (t := term(w.encode("utf-8", "surrogatepass")))})
+def terms_of(line: str, base: list[Span]) -> set[str]:
+    """The distinct terms among the words outside the base spans."""
+    return {t for _, t in _outside(line, base)}
+
+
+def _outside(text: str, base: list[Span]) -> Iterator[tuple[re.Match, str]]:
+    """(word, its term) outside the base spans."""
+    apart: list[list[int]] = []
+    for start, end, _ in sorted(base):
+        if apart and start < apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], end)
+        else:
+            apart.append([start, end])
+    k = 0
+    for m in _WORD.finditer(text):
+        while k < len(apart) and apart[k][1] <= m.start():
+            k += 1
+        if k < len(apart) and apart[k][0] < m.end():
+            continue
+        if t := term(m[0].encode("utf-8", "surrogatepass")):
+            yield m, t.decode("utf-8", "replace")
 
 
 def maybe_in(bits: np.ndarray) -> Callable[[bytes], str | None]:
@@ -105,68 +135,93 @@ def maybe_in(bits: np.ndarray) -> Callable[[bytes], str | None]:
     return look
 
 
-def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS) -> DataFrame:
+def revealing(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES) -> DataFrame:
     """(term): terms that reveal some protected value beyond the threshold.
 
-    Every distinct base value of the corpus is an entity. c(e) is the number of its different contexts (copies of a
-    passage count once), c(e, t) that of those which hold t, c(t) the number of t's occurrences in all texts, and N the
-    number of words. Pointwise mutual information log(N c(e,t) / (c(e) c(t))) is how much t tells of e; the term is
-    revealing if that is at least ``reach`` of e's information content log(N / c(e)) in ``least`` or more contexts.
-    Counts of candidate terms alone are taken in the second pass, found by a Bloom filter and exact after the join.
+    Every base value of the corpus, however spelt, is an entity. All counts are of lines, each as often as it occurs:
+    c(e) of those with e, c(t) of those with t outside base spans, c(e, t) of those with both, N of all that aren't
+    blank. Pointwise mutual information log(N c(e,t) / (c(e) c(t))) is how much t tells of e; the term is revealing if
+    that is at least ``reach`` of e's information content log(N / c(e)) and c(e, t) is ``least`` or more.
+    Pairs are made only of entities, and c(t) is taken only of terms, that a Bloom filter of those with ``least``
+    lines may hold; both are exact after the joins.
     """
+    context = docs.sparkSession.sparkContext
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"entity": pa.string(), "context": pa.int64(), "term": pa.string()}
+    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {k: [] for k in kinds}
+            found: Counter = Counter()
             for text in b.column(1).to_pylist():
-                for entity, h, terms in contexts(text or "", base_spans(text or "")):
-                    for t in ("", *terms):
-                        for k, v in zip(kinds, (entity, h, t), strict=True):
-                            out[k].append(v)
-            yield arrow(out, kinds)
+                if base := base_spans(text or ""):
+                    for _, _, held in lines_of(text, base):
+                        found.update(held)
+            yield arrow({"entity": list(found), "n": list(found.values())}, {"entity": pa.string(), "n": pa.int64()})
+
+    of_entity = stored(docs.mapInArrow(trimmed(entities), "entity string, n bigint").groupBy("entity").agg(F.sum("n").alias("n_entity")).where(F.col("n_entity") >= least))
+    wanted = context.broadcast(Bloom.build(of_entity.select("entity").mapInArrow(_keyed, "key bigint"), "key"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        kinds = {"entity": pa.string(), "term": pa.string(), "n": pa.int64()}
+        out: Counter = Counter()
+        raw = wanted.value.tobytes()
 
-    pairs = docs.mapInArrow(trimmed(near), "entity string, context bigint, term string").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    pairs = stored(pairs)
-    of_entity = pairs.where(F.col("term") == "").select("entity", F.col("n").alias("n_entity"))
-    candidates = pairs.where(F.col("term") != "").join(of_entity, "entity")
+        def ready() -> pa.RecordBatch:
+            made = arrow({"entity": [e for e, _ in out], "term": [t for _, t in out], "n": list(out.values())}, kinds)
+            out.clear()
+            return made
 
-    bits = docs.sparkSession.sparkContext.broadcast(Bloom.build(candidates.select("term").distinct().mapInArrow(_keyed, "key bigint"), "key"))
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                if not (base := base_spans(text or "")):
+                    continue
+                for line, own, held in lines_of(text, base):
+                    held = [e for e in held if Bloom.maybe(raw, xxhash.xxh3_64_intdigest(e.encode("utf-8", "surrogatepass")))]
+                    terms = terms_of(line, own) if held else ()
+                    for e in held:
+                        out.update((e, t) for t in terms)
+                        if len(out) > 200_000:
+                            yield ready()
+        yield ready()
+
+    pairs = docs.mapInArrow(trimmed(near), "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    candidates = stored(pairs.join(of_entity, "entity"))
+    bits = context.broadcast(Bloom.build(candidates.select("term").distinct().mapInArrow(_keyed, "key bigint"), "key"))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Cache(maybe_in(bits.value))
         for b in batches:
             terms: Counter = Counter()
             for text in b.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                terms[""] += len(words)
-                terms.update(filter(None, map(known.__getitem__, words)))
+                text = text or ""
+                if not any(map(known.__getitem__, text.encode("utf-8", "surrogatepass").split())):
+                    terms[""] += sum(_WORD.search(x) is not None for x in text.split("\n"))
+                    continue
+                for line, own, _ in lines_of(text, base_spans(text)):
+                    terms[""] += 1
+                    if any(map(known.__getitem__, line.encode("utf-8", "surrogatepass").split())):
+                        terms.update(t for t in terms_of(line, own) if known[t.encode("utf-8", "surrogatepass")])
             yield arrow({"term": list(terms), "n": list(terms.values())}, {"term": pa.string(), "n": pa.int64()})
 
     counts = stored(docs.mapInArrow(trimmed(totals), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")))
-    total = (counts.where(F.col("term") == "").agg(F.sum("n_term")).first()[0] or 0) + 1
-    pmi = F.log(F.lit(float(total)) * F.col("n") / (F.col("n_entity") * F.greatest("n", "n_term")))
+    total = counts.where(F.col("term") == "").agg(F.sum("n_term")).first()[0] or 1
+    pmi = F.log(F.lit(float(total)) * F.col("n") / (F.col("n_entity") * F.col("n_term")))
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    return stored(candidates.join(counts, "term").where(pmi >= reach * content).select("term").distinct())
+    return stored(candidates.join(counts, "term").where((pmi > 0) & (pmi >= reach * content)).select("term").distinct())
 
 
 def term_spans(text: str, base: list[Span], terms: set[str] | frozenset[str]) -> list[Span]:
-    """Occurrences of terms outside the base spans, which come by their ends."""
-    out, k, edge = [], 0, _EDGE.decode()
-    for m in _WORD.finditer(text):
-        while k < len(base) and base[k][1] <= m.start():
-            k += 1
-        if k < len(base) and base[k][0] < m.end():
-            continue
-        t = term(m[0].encode("utf-8", "surrogatepass"))
-        if t and t.decode("utf-8", "replace") in terms:
+    """Occurrences of terms outside the base spans."""
+    out, edge = [], _EDGE.decode()
+    for m, t in _outside(text, base):
+        if t in terms:
             inner = m[0].strip(edge)
             start = m.start() + m[0].index(inner)
             out.append((start, start + len(inner), "term"))
     return out
 
 
-def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS, few: int = FEW_TERMS) -> DataFrame:
+def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES, few: int = FEW_TERMS) -> DataFrame:
     """doc_id, text, the whole row as ``row`` and ``spans``, an array of (start, end, kind) in code points by start, for every row.
 
     Kinds are those of base_spans, and ``term`` for terms that reveal a protected value (see ``revealing``). Up to
@@ -231,7 +286,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_terms(text: str, base: list[Span], terms: frozenset[str]) -> list[Span]:
     if not terms:
         return base
-    more = term_spans(text, sorted(base, key=lambda s: s[1]), terms)
+    more = term_spans(text, base, terms)
     return sorted(base + more, key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
 
 
@@ -276,7 +331,7 @@ def generalised(text: str, found: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = CONTEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES) -> DataFrame:
     """The rows as they came, but for spans generalised in ``text``; null text stays null."""
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -248,6 +248,20 @@ def test_privacy(docs, empty, spark):
     assert privacy.sanitise(empty).count() == 0
 
 
+def test_privacy_of_repeated_lines(spark):
+    """A contact line that is the same everywhere reveals its name and user name, near or far; words that are common don't."""
+    line = "{} alpha beta gamma delta epsilon zeta eta ask Quibbly alias quib_77"
+    spelt = ("Jo@Secret.example.org", "jo@secret.example.org", "JO@secret.example.org", "jo@secret.EXAMPLE.org")
+    rows = [(i, "alpha beta gamma\n" + line.format(m)) for i, m in enumerate(spelt)]
+    rows += [(10 + i, "alpha beta gamma delta epsilon zeta eta ask alias") for i in range(60)] + [(90, "later quibbly met quib_77 10.0.0.1 x"), (91, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.term for r in privacy.revealing(df).collect()} == {"quibbly", "quib_77"}
+    for few in (100, 0):
+        got = {r.doc_id: r.spans for r in privacy.digest(privacy.spans(df, few=few)).collect()}
+        assert got[90] == "term:6:13,term:18:25,ip:26:34" and got[91] == "" and got[10] == ""
+    assert privacy.sanitise(df).where("doc_id = 0").first().text == "alpha beta gamma\n[EMAIL] alpha beta gamma delta epsilon zeta eta ask [TERM] alias [TERM]"
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in data(docs))
