@@ -30,7 +30,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the tempered marginals of source, language and topic."""
+    """A sample whose tokens meet the tempered marginals of source, language and topic where there are enough tokens for them."""
     return mixing.mix(docs).select(*docs.columns)
 
 

@@ -39,8 +39,11 @@ def mix(
        partially aggregated shuffle, so a source with a third of all rows moves as one row per task and cell.
     2. Target marginals are the natural shares to the power ``temper``, made to sum to 1 on each axis: small sources
        gain. Raking repeats, ``sweeps`` times: scale the cells' weights to each axis' targets in turn.
-    3. A cell's probability is min(1, c * weight / tokens), where c is the largest factor for which the expected
-       tokens stay within ``share`` of all, found by water filling over the cells in the order of their ratios.
+    3. No document is repeated, so no cell can give more than its tokens. An axis value whose target exceeds its own
+       tokens has them all as its reachable target, and what it lacks goes to the others in proportion. Raking is
+       repeated under that bound: each cell's probability is min(1, the product of its three axis factors), and the
+       factors of each axis in turn are set by water filling so that the expected tokens meet the reachable targets.
+       They sum to ``share`` of all tokens, which a last water filling over all cells meets exactly.
        A document is kept if a hash of its id and the seed is below its cell's probability.
 
     Only DataFrame operations; cells (distinct triples), never documents, pass through windows. Nulls on an axis are
@@ -54,7 +57,8 @@ def mix(
     known = {f"__{a}": F.coalesce((topic if topic is not None else topic_of(text, F.col("lang"))) if a == "topic" else F.col(a), F.lit("unknown")) for a in AXES}
     marked = base.withColumns(known | {"__tokens": words})
     cells = stored(marked.groupBy(*known).agg(F.sum("__tokens").alias("tokens")))
-    fitted = calibrated(raked(cells, sweeps, temper), share)
+    weights = raked(cells, sweeps, temper)
+    fitted = calibrated(bounded(weights, share, sweeps, temper), share).drop("weight").join(weights.drop("tokens"), list(known))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     kept = marked.withColumn("__u", unit).join(fitted, list(known))
     return kept.where(F.col("__u") < F.col("p")).select(
@@ -62,14 +66,52 @@ def mix(
     )
 
 
+def goals(cells: DataFrame, axis: str, temper: float) -> DataFrame:
+    """natural tokens and goal, the target share, for each value of an axis."""
+    natural = cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias("natural")).withColumn("t", F.pow("natural", F.lit(temper)))
+    total = natural.agg(F.sum("t")).first()[0] or 1.0
+    return natural.select(axis, "natural", (F.col("t") / F.lit(total)).alias("goal"))
+
+
+def filled(rows: DataFrame, group: list[str], most: str, ratio: Column, budget: Column) -> DataFrame:
+    """Adds ``factor`` per group, for which the sum of most * min(1, factor * ratio) is the budget, or all of ``most`` if that is less.
+
+    By descending ratio the first k rows are full and the factor for the rest is (budget - most of the first k) /
+    (ratio * most of the rest); the right k is the least for which no later row passes 1.
+    """
+    by = Window.partitionBy(*group)
+    order = by.orderBy(F.desc("__ratio"))
+    found = rows.withColumn("__ratio", ratio)
+    full = F.coalesce(F.sum(F.col(most).cast("double")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col(most) * F.col("__ratio")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = found.withColumn("__factor", (budget - full) / rest)
+    right = F.when(F.col("__factor") * F.col("__ratio") <= 1, F.struct("__ratio", "__factor"))
+    return found.withColumn("factor", F.coalesce(F.max(right).over(by)["__factor"], 1 / F.min("__ratio").over(by))).drop("__ratio", "__factor")
+
+
+def bounded(cells: DataFrame, share: float, sweeps: int, temper: float) -> DataFrame:
+    """raked() cells with new weights: min(tokens, weight) meets each axis' reachable targets, as far as cells allow all of them at once."""
+    axes = [f"__{a}" for a in AXES]
+    budget = F.lit(share * float(cells.agg(F.sum("tokens")).first()[0] or 0))
+    out = cells.withColumn("m", F.col("weight") / F.col("tokens"))
+    for a in axes:
+        reach = filled(goals(cells, a, temper), [], "natural", F.col("goal") / F.col("natural"), budget)
+        out = out.join(reach.select(a, F.least("natural", F.col("factor") * F.col("goal")).alias(f"target{a}")), a)
+    out = stored(out)
+    for i in range(sweeps):
+        for a in axes:
+            out = filled(out, [a], "tokens", F.col("m"), F.col(f"target{a}")).withColumn("m", F.col("m") * F.col("factor")).drop("factor")
+        if i % 2:
+            out = stored(out)
+    return out.select(*axes, "tokens", (F.col("m") * F.col("tokens")).alias("weight"))
+
+
 def raked(cells: DataFrame, sweeps: int, temper: float) -> DataFrame:
     """weight per cell; sums to 1. A stored table ends the plan of every second sweep."""
     axes = [f"__{a}" for a in AXES]
     out = cells
     for a in axes:
-        natural = cells.groupBy(a).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("t"))
-        total = natural.agg(F.sum("t")).first()[0] or 1.0
-        out = out.join(natural.select(a, (F.col("t") / F.lit(total)).alias(f"goal{a}")), a)
+        out = out.join(goals(cells, a, temper).select(a, F.col("goal").alias(f"goal{a}")), a)
     out = stored(out.withColumn("weight", F.col("tokens").cast("double")))
     for i in range(sweeps):
         for a in axes:

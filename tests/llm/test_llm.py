@@ -213,6 +213,30 @@ def test_raking_meets_marginals(spark):
     assert abs(sum(r.p * size[r["__source"], r["__lang"], r["__topic"]] for r in p) - 0.6 * sum(size.values())) < 1e-6
 
 
+def test_sampled_tokens_meet_reachable_marginals(spark):
+    """The marginals of probability times tokens, not of weights before clipping; a target beyond its tokens is all of them."""
+    rng = random.Random(6)
+    size = {(s, la, t): rng.randint(1, 90) * (40 if t == "p" else 1) for s in "abc" for la in "xy" for t in "pqr"}
+    cells = spark.createDataFrame([(*k, n) for k, n in size.items()], "__source string, __lang string, __topic string, tokens bigint")
+    share, total = 0.6, sum(size.values())
+    got = mixing.calibrated(mixing.bounded(mixing.raked(cells, 8, 0.7), share, 8, 0.7), share).collect()
+    p = {(r["__source"], r["__lang"], r["__topic"]): r.p for r in got}
+    assert len(p) == len(size) and all(0 < v <= 1 for v in p.values())
+    full = 0
+    for axis in range(3):
+        natural, own = defaultdict(float), defaultdict(float)
+        for k, n in size.items():
+            natural[k[axis]] += n
+            own[k[axis]] += n * p[k]
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (low, c) if sum(min(v, c * v**0.7) for v in natural.values()) > share * total else (c, high)
+        full += sum(c * v**0.7 > v for v in natural.values())
+        assert all(abs(own[k] - min(v, c * v**0.7)) < 0.002 * total for k, v in natural.items())
+    assert full
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 64))
