@@ -180,6 +180,10 @@ BUILT: dict[str, tuple[Build, str]] = {
         lambda c: ops.except_(c.table("orders").select(F.col("o_custkey").alias("k")), ops.filter_rows(c.table("customer"), "c_custkey", "<", 500).select("c_custkey")),
         "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey < 500",
     ),
+    "except_balance": (
+        lambda c: ops.except_(c.table("orders").select(F.col("o_custkey").alias("k")), ops.filter_rows(c.table("customer"), "c_acctbal", "<", 0).select("c_custkey")),
+        "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0",
+    ),
     "distinct": (
         lambda c: ops.distinct(c.table("lineitem"), "l_returnflag", "l_linestatus"),
         "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
@@ -237,6 +241,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "case_when": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS c FROM part",
     "str_order": "SELECT n_nationkey FROM nation WHERE n_name > 'NATION_15'",
     "cast_floor": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderkey < 200",
+    "cast_floor_all": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders",
     "filter_ge_ts": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'",
     "array_agg_sorted": (
         "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey",

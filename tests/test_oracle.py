@@ -33,6 +33,16 @@ def test_matches_oracle(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 
 
+def test_casts_and_except_reach_whole_tables(spark):
+    """The cast covers every order, and EXCEPT takes away customers by their balance, of any id."""
+    found, data = catalogue.queries(), DATA.replace("0.001", "0.01")
+    orders, customer = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("orders", "customer"))
+    assert found["cast_floor_all"](spark, data).count() == orders.count() > 200
+    kept = {r.k for r in found["except_balance"](spark, data).collect()}
+    out = {r.o_custkey for r in orders.collect()} - kept
+    assert max(out) >= 500 and min(kept) < 500 and out <= {r.c_custkey for r in customer.where("c_acctbal < 0").collect()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
