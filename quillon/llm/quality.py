@@ -129,8 +129,8 @@ class Rule:
         return out
 
 
-def _gain(p: int, n: int, p0: int, n0: int) -> float:
-    return p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else -1.0
+def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
+    return np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(p + n, 1)) - np.log2(p0 / (p0 + n0))), -1.0)
 
 
 def grow(x: dict[str, np.ndarray], bad: np.ndarray, most_tests: int = 4) -> Rule:
@@ -145,13 +145,15 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, most_tests: int = 4) -> Rule
             order = np.argsort(v, kind="stable")
             v, y = v[order], y[order]
             cuts = np.flatnonzero(v[1:] != v[:-1]) + 1
-            p_below = np.cumsum(y)
-            for c in cuts[:: max(1, len(cuts) // 256)]:
-                p, n = int(p_below[c - 1]), int(c - p_below[c - 1])
-                middle = float((v[c - 1] + v[c]) / 2)
-                for g, op in ((_gain(p, n, p0, n0), "<"), (_gain(p0 - p, n0 - n, p0, n0), ">=")):
-                    if g > best[0]:
-                        best = (g, (name, op, middle))
+            if not len(cuts):
+                continue
+            p = np.cumsum(y)[cuts - 1]
+            n = cuts - p
+            gains = np.stack([_gain(p, n, p0, n0), _gain(p0 - p, n0 - n, p0, n0)], axis=1)
+            at, side = divmod(int(gains.argmax()), 2)
+            if gains[at, side] > best[0]:
+                c = cuts[at]
+                best = (float(gains[at, side]), (name, ("<", ">=")[side], float((v[c - 1] + v[c]) / 2)))
         if best[1] is None:
             break
         tests.append(best[1])

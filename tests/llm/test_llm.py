@@ -187,6 +187,13 @@ def test_quality(spark, docs, empty):
     assert quality.judge(docs, labels.limit(0))[1] == []
 
 
+def test_grow_tries_all_cuts():
+    n = 6000
+    x = {f: np.zeros(n) for f in quality.FEATURES} | {"digit_share": np.arange(n) / n}
+    bad = np.arange(n) >= n - 9
+    assert quality.grow(x, bad).tests == (("digit_share", ">=", ((n - 10) / n + (n - 9) / n) / 2),)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, share=1.0)
     assert set(docs.columns) <= set(got.columns) and got.count() == docs.count()
