@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,26 +18,57 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder that is set from then on."""
+    """spark.checkpoint.dir, or the session's checkpoint folder; an error where neither is set.
+
+    A folder of one machine would lose what other executors write, so none is made up here.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as Parquet in the shared folder: lineage ends there, and a lost executor takes nothing with it.
 
-    The file system removes the files when the driver's JVM ends.
+    forget() removes the files; those of tables that a result still reads go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    fs, where = _files(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that no later job reads."""
+    for t in tables:
+        fs, where = _files(t.sparkSession, t.stored_at)
+        fs.delete(where, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns made beside it can't clash with any name; names may hold dots."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
+def fields(row: Column | str, names: list[str]) -> list[Column]:
+    """The columns of whole_row() again."""
+    row = F.col(row) if isinstance(row, str) else row
+    return [row.getField(n).alias(n) for n in names]
 
 
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,47 +119,63 @@ class WordHasher:
 
 
 class Bloom:
-    """A filter of fixed size, so that it can be broadcast at any input; when it fills up, it only lets more pass."""
+    """A filter of 12 bits a key, of 128 KB at least and 16 MB at most; when it fills up, it only lets more pass.
 
-    BITS = 1 << 24
+    Bits come as an array of bytes whose length, a power of two, gives the mask.
+    """
+
+    LEAST, MOST, SHIFTS = 1 << 20, 1 << 27, (0, 18, 37)
 
     @staticmethod
-    def slots(keys: np.ndarray) -> np.ndarray:
+    def slots(keys: np.ndarray, bits: int) -> np.ndarray:
         h = mix(keys.astype(U64))
-        return np.stack([(h >> U64(s)) & U64(Bloom.BITS - 1) for s in (0, 20, 40)])
+        return np.stack([(h >> U64(s)) & U64(bits - 1) for s in Bloom.SHIFTS])
 
     @staticmethod
     def build(df: DataFrame, key: str) -> np.ndarray:
-        """From a bigint column: each of at most 16 tasks sends the driver one filter, compressed."""
-        import zlib
+        """From a bigint column. Tasks send the slots that they set; slots of one byte are merged before the driver adds them.
 
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(Bloom.BITS, bool)
-            for b in batches:
-                bits[Bloom.slots(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)).ravel()] = True
-            yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+        So no task makes a whole filter, and what arrives is at most one row for each 4 KB of the filter.
+        """
+        keys = stored(df.select(F.col(key).alias("key")).where(F.col(key).isNotNull()))
+        bits = min(Bloom.MOST, max(Bloom.LEAST, 1 << (12 * keys.count()).bit_length()))
+        page = 1 << 15
 
-        bits = np.zeros(Bloom.BITS // 8, np.uint8)
-        for row in df.select(key).where(F.col(key).isNotNull()).coalesce(16).mapInArrow(fill, "bits binary").toLocalIterator():
-            bits |= np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint8)
-        return bits
+        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = Bloom.slots(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), bits).ravel().astype(np.int64)
+                yield arrow({"page": at // page, "slot": at % page}, {"page": pa.int32(), "slot": pa.int32()})
+
+        def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in grouped(batches, "page"):
+                own = np.zeros(page, bool)
+                own[t.column("slot").to_numpy()] = True
+                yield arrow({"page": [t.column("page")[0].as_py()], "bits": [np.packbits(own).tobytes()]}, {"page": pa.int32(), "bits": pa.binary()})
+
+        out = np.zeros(bits // 8, np.uint8)
+        for row in by_key(keys.mapInArrow(slots, "page int, slot int"), "page").mapInArrow(pages, "page int, bits binary").toLocalIterator():
+            at = row.page * page // 8
+            out[at : at + page // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+        forget(keys)
+        return out
 
     @staticmethod
-    def maybe(bits: bytes, key: int) -> bool:
+    def maybe(raw: bytes, key: int) -> bool:
         """has() for one key, without arrays."""
         m = (1 << 64) - 1
         x = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & m
         x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
         x ^= x >> 31
-        for s in (0, 20, 40):
-            at = x >> s & Bloom.BITS - 1
-            if not bits[at >> 3] >> (7 - (at & 7)) & 1:
+        last = 8 * len(raw) - 1
+        for s in Bloom.SHIFTS:
+            at = x >> s & last
+            if not raw[at >> 3] >> (7 - (at & 7)) & 1:
                 return False
         return True
 
     @staticmethod
     def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        s = Bloom.slots(keys)
+        s = Bloom.slots(keys, 8 * len(bits))
         return ((bits[s >> U64(3)] >> (U64(7) - (s & U64(7))).astype(np.uint8)) & 1).all(axis=0)
 
 
@@ -195,12 +241,12 @@ def _priority(column: str | Column, level: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id in the edges (a, b); ids linked by any path have the same root, itself one of them.
+    """(id, root) for every id, bigint or binary, in the edges (a, b); ids linked by any path have the same root, itself one of them.
 
-    Contraction, until FEW_EDGES are left (which one executor's task finishes): each node moves to the neighbour (or itself) of least random priority; edges between the places of
-    their ends make the next, smaller graph. Random priorities shrink chains by a constant factor a level, so the
-    number of levels is logarithmic. Everything stays distributed; a hot node is aggregated before the shuffle, and
-    joins on it are ones that Spark can split.
+    Contraction, until FEW_EDGES are left (which one executor's task finishes): each node moves to the neighbour (or
+    itself) of least random priority; edges between the places of their ends make the next, smaller graph. Random
+    priorities shrink chains by a constant factor a level, so the number of levels is logarithmic. Everything stays
+    distributed; a hot node is aggregated before the shuffle, and joins on it are ones that Spark can split.
     """
     e = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     levels: list[DataFrame] = []
@@ -212,8 +258,10 @@ def components(edges: DataFrame) -> DataFrame:
         levels.append(to)
         moved = e.join(to.select(F.col("id").alias("a"), F.col("up").alias("ua")), "a").join(to.select(F.col("id").alias("b"), F.col("up").alias("ub")), "b")
         moved = moved.where(F.col("ua") != F.col("ub")).select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
-        e = stored(moved.distinct())
-    root = e.coalesce(1).mapInArrow(_few, "id bigint, root bigint")
+        before, e = e, stored(moved.distinct())
+        forget(before)
+    kind = e.schema["a"].dataType.simpleString()
+    root = e.coalesce(1).mapInArrow(_few, f"id {kind}, root {kind}")
     for to in reversed(levels):
         above = root.select(F.col("id").alias("up"), "root")
         root = to.join(above, "up", "left").select("id", F.coalesce("root", "up").alias("root"))
@@ -222,14 +270,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Components of at most FEW_EDGES edges, in one task of known size."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    held, kind = [], None
+    for b in batches:
+        if b.num_rows:
+            kind = b.column(0).type
+            held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
     if held:
         a, b = (np.concatenate(x) for x in zip(*held, strict=True))
         ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         forest = Forest(len(ids))
         for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
             forest.join(x, y)
-        yield pa.RecordBatch.from_pydict({"id": ids, "root": ids[forest.roots()]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ids[forest.roots()], kind)], names=["id", "root"])
 
 
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -11,12 +11,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Bloom, Forest, WordHasher, arrow, by_key, components, documents, grouped, mix, stored, trimmed
+from quillon.llm.common import U64, Bloom, Forest, WordHasher, arrow, by_key, components, documents, fields, forget, grouped, mix, stored, trimmed, whole_row
 
 #: N-grams of the greatest document frequency that come last in the global order; a bound on what is broadcast.
 LAST = 1 << 17
 #: A task's trie holds at most so many documents and n-grams of each side; larger clusters are compared block by block.
 MOST_DOCS, MOST_GRAMS = 1500, 1_500_000
+#: Signatures that a task holds before it sends them; equal ones among them travel once.
+MOST_SIGS = 2_000_000
+#: Tables of so many narrow rows (some 20 MB) are broadcast; larger ones are joined.
+FEW_ROWS = 500_000
 
 
 def gram_sets(texts: list[str | None], n: int, hasher: WordHasher) -> list[np.ndarray]:
@@ -41,10 +45,16 @@ def hash_all(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))
 
 
-def fingerprint(grams: np.ndarray) -> int:
+def fingerprint(grams: np.ndarray) -> bytes:
+    """128 bits, so that different sets of any corpus have different ones."""
     import xxhash
 
-    return int(np.array(xxhash.xxh3_64_intdigest(grams.tobytes()), U64).view(np.int64))
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def heads(fps: list[bytes]) -> np.ndarray:
+    """The first 64 bits of fingerprints. Sets that share them by chance are candidates of each other, no more."""
+    return np.frombuffer(b"".join(fps), ">i8")[::2].astype(np.int64)
 
 
 def slices(batches: Iterator[pa.RecordBatch], n: int, most: int = 512, most_bytes: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -61,14 +71,16 @@ def slices(batches: Iterator[pa.RecordBatch], n: int, most: int = 512, most_byte
 
 def described(docs: DataFrame, n: int) -> DataFrame:
     """A row per document: id, set size, fingerprint of the set (null if empty); and rows of n-grams that are frequent in a task."""
-    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "fp": pa.int64(), "gram": pa.int64(), "times": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "fp": pa.binary(), "gram": pa.int64(), "times": pa.int64()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
 
         def frequent() -> pa.RecordBatch:
-            g, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
-            g, c = g[c >= 4].view(np.int64), c[c >= 4]
+            all_grams = np.sort(np.concatenate(held)) if held else np.zeros(0, U64)
+            starts = np.flatnonzero(np.concatenate([[True], all_grams[1:] != all_grams[:-1]])) if held else np.zeros(0, int)
+            c = np.diff(np.append(starts, len(all_grams)))
+            g, c = all_grams[starts[c >= 4]].view(np.int64), c[c >= 4]
             none = [None] * len(g)
             return arrow({"doc_id": none, "text_hash": none, "n_shingles": none, "fp": none, "gram": g, "times": c}, kinds)
 
@@ -89,7 +101,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
         yield frequent()
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(trimmed(describe), "doc_id bigint, text_hash bigint, n_shingles bigint, fp bigint, gram bigint, times bigint")
+    return hashed.mapInArrow(trimmed(describe), "doc_id bigint, text_hash bigint, n_shingles bigint, fp binary, gram bigint, times bigint")
 
 
 def ordered(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -122,22 +134,44 @@ def runs(grams: np.ndarray, last: np.ndarray, rank: np.ndarray, tenths: int) ->
 
 
 def neighbours(docs: DataFrame, n: int, tenths: int, hot: Broadcast) -> DataFrame:
-    """(a, b): fingerprints that share a signature, each with the least of its signature; each task sends a set once."""
+    """(a, b): heads of sets that share a signature, each with one of them.
+
+    A task sends a set once. Of equal signatures that it holds it sends one, and links the others' sets to that one's
+    by a signature that these two alone have: so a signature that very many sets have comes as one row per task and
+    bound, not as a row per set, and no task gets them all.
+    """
     kinds = {"sig": pa.int64(), "fp": pa.int64()}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
+        sigs, heads_, held = [], [], 0
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            s, f = np.concatenate(sigs), np.repeat(np.array(heads_, np.int64), [len(x) for x in sigs])
+            order = np.argsort(s)
+            new = np.concatenate([[True], s[order[1:]] != s[order[:-1]]])[: len(s)]
+            lead = f[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+            links = np.unique(np.stack([lead[~new], f[order[~new]]]), axis=1)
+            links = links[:, links[0] != links[1]]
+            sent = np.zeros(len(s), bool)
+            sent[order[new]] = True  # in the order of arrival, which keeps a set's rows together
+            own = mix(links[0].view(U64) + mix(links[1].view(U64) + U64(tenths)))
+            yield arrow({"sig": np.concatenate([s[sent], own, own]).view(np.int64), "fp": np.concatenate([f[sent], *links])}, kinds)
+
         for _, sets in slices(batches, n):
-            sigs, fps = [], []
             for s in sets:
                 if len(s) and (fp := fingerprint(s)) not in seen:
                     seen.add(fp)
                     sigs.append(r := runs(s, *hot.value, tenths))
-                    fps.append(np.full(len(r), fp, np.int64))
-            if sigs:
-                yield arrow({"sig": np.concatenate(sigs).view(np.int64), "fp": np.concatenate(fps)}, kinds)
+                    heads_.append(int(heads([fp])[0]))
+                    held += len(r)
+            if held > MOST_SIGS:
+                yield from combined()
+                sigs, heads_, held = [], [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
+        if held:
+            yield from combined()
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = first = None
@@ -239,97 +273,133 @@ def trie_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, tenth
     return links
 
 
-def linked(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int, tenths: int, most_docs: int, most_grams: int) -> DataFrame:
-    """(a, b): fingerprints of similar sets, enough of them to span every component."""
-    sized = clusters.join(classes.select(F.col("fp").alias("id"), "n_shingles"), "id")
+def linked(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int, tenths: int, most_docs: int, most_grams: int, few: int) -> DataFrame:
+    """(a, b): fingerprints of similar sets, enough of them to span every component.
+
+    Sets go to their cluster's units in one shuffle where the clusters' table is small enough to be looked up in the
+    tasks that make them, in two where it has to be joined.
+    """
+    sized = clusters.join(classes.select(F.col("head").alias("id"), "n_shingles"), "id")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("grams"))
-    blocks = total.select("root", F.greatest(F.ceil(F.col("docs") / most_docs), F.ceil(F.col("grams") / most_grams), F.lit(1)).cast("int").alias("blocks"))
-    placed = stored(sized.join(blocks, "root").select(F.col("id").alias("fp"), "root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")))
-    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.build(placed, "fp"))
+    blocks = total.where("docs > 1").select("root", F.greatest(F.ceil(F.col("docs") / most_docs), F.ceil(F.col("grams") / most_grams), F.lit(1)).cast("int").alias("blocks"))
+    placed = stored(clusters.join(blocks, "root").select(F.col("id").alias("head"), "root", "blocks"))
+    context = docs.sparkSession.sparkContext
+    small = placed.count() <= few
+    if small:
+        t = placed.toArrow().sort_by("head")
+        table = context.broadcast(tuple(t.column(c).to_numpy() for c in ("head", "root", "blocks")))
+    else:
+        bloom = context.broadcast(Bloom.build(placed, "head"))
+    kinds = {"head": pa.int64(), "fp": pa.binary(), "grams": pa.binary()}
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for _, sets in slices(batches, n):
-            fps = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.int64)
-            wanted = Bloom.has(bloom.value, fps.view(U64)) & np.array([len(s) > 0 for s in sets], bool)
-            pick = [i for i in np.flatnonzero(wanted) if fps[i] not in seen and not seen.add(fps[i])]
+            fps = [fingerprint(s) for s in sets]
+            head = heads(fps)
+            if small:
+                at = np.minimum(np.searchsorted(table.value[0], head), len(table.value[0]) - 1)
+                wanted = table.value[0][at] == head if len(table.value[0]) else np.zeros(len(sets), bool)
+            else:
+                wanted = Bloom.has(bloom.value, head.view(U64))
+            pick = [i for i in np.flatnonzero(wanted) if len(sets[i]) and fps[i] not in seen and not seen.add(fps[i])]
             if pick:
-                yield arrow({"fp": fps[pick], "grams": [sets[i].tobytes() for i in pick]}, {"fp": pa.int64(), "grams": pa.binary()})
+                b = arrow({"head": head[pick], "fp": [fps[i] for i in pick], "grams": [sets[i].tobytes() for i in pick]}, kinds)
+                if small:
+                    for name, column in zip(("root", "blocks"), table.value[1:], strict=True):
+                        b = b.append_column(name, pa.array(column[at[pick]]))
+                yield b
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    sets = docs.mapInArrow(trimmed(sets_of), "fp bigint, grams binary").join(placed, "fp")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = sets.select("fp", "grams", "root", "block", other.alias("other")).select(
-        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "fp", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("alone"), "grams"
+    made = "head bigint, fp binary, grams binary"
+    sets = docs.mapInArrow(trimmed(sets_of), f"{made}, root bigint, blocks int") if small else docs.mapInArrow(trimmed(sets_of), made).join(placed, "head")
+    block, other = F.pmod(F.xxhash64("fp"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    units = sets.select("fp", "grams", "root", block.alias("block"), other.alias("other")).select(
+        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        "fp",
+        (F.col("block") > F.col("other")).cast("int").alias("side"),
+        (F.col("block") == F.col("other")).alias("alone"),
+        "grams",
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "unit"):
-            fps, side, alone = (t.column(c).to_numpy() for c in ("fp", "side", "alone"))
-            fps, at = np.unique(fps, return_index=True)
-            if len(fps) < 2:
+            at = list({fp: i for i, fp in enumerate(t.column("fp").to_pylist())}.values())
+            if len(at) < 2:
                 continue
-            raw = t.column("grams").to_pylist()
-            sets = [np.frombuffer(raw[i], U64) for i in at]
+            t = t.take(at)
+            fps, side, alone = t.column("fp").to_pylist(), t.column("side").to_numpy(), t.column("alone")[0].as_py()
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("grams")]
             whole = np.ones(len(fps), bool)
-            found = trie_join(sets, whole, whole, tenths) if alone[0] else trie_join(sets, side[at] == 0, side[at] == 1, tenths)
+            found = trie_join(sets, whole, whole, tenths) if alone else trie_join(sets, side == 0, side == 1, tenths)
             if found:
-                a, b = zip(*found, strict=True)
-                yield arrow({"a": fps[list(a)], "b": fps[list(b)]}, {"a": pa.int64(), "b": pa.int64()})
+                yield arrow({"a": [fps[i] for i, _ in found], "b": [fps[j] for _, j in found]}, {"a": pa.binary(), "b": pa.binary()})
 
-    return by_key(units, "unit", "fp").mapInArrow(trimmed(compare), "a bigint, b bigint")
+    links = stored(by_key(units, "unit", "fp").mapInArrow(trimmed(compare), "a binary, b binary"))
+    forget(placed)
+    return links
 
 
-def join(docs: DataFrame, n: int = 3, tenths: int = 90, most_docs: int = MOST_DOCS, most_grams: int = MOST_GRAMS) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, tenths: int = 90, most_docs: int = MOST_DOCS, most_grams: int = MOST_GRAMS, few: int = FEW_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id for every row, by word n-gram sets whose Jaccard similarity is tenths/100 or more.
 
-    1. One pass gives each row's set size and 64-bit fingerprint. Equal sets are one class from here on, so copies,
+    1. One pass gives each row's set size and 128-bit fingerprint. Equal sets are one class from here on, so copies,
        however many, are compared once. 2. Classes that share a signature (see ``runs``) form candidate clusters: every
        linked pair lies in one. 3. Sets of clustered classes alone are read again and go to their cluster, where a
        prefix tree finds pairs that span the components. Clusters beyond a task's bound are split into blocks and every
        two blocks meet in a task of their own, so no cluster needs one task. 4. Links become components.
 
-    Null and empty texts have no n-grams and link with nothing. Repeated rows and ids stay rows of their own; a
-    component is named by its smallest id (null ids aside). An empty table gives an empty result.
+    Null and empty texts have no n-grams and link with nothing. Very long texts are sets like others. Repeated rows and
+    ids stay rows of their own; a component is named by its smallest id (null ids aside; a component of null ids alone
+    has no name). Ties need no rule: the components don't depend on the order. Other columns, whatever their names,
+    don't matter. An empty table gives an empty result.
     """
     if tenths < 75:
         raise ValueError("similarities below 0.75 need longer signatures")
-    return placed(docs, n, tenths, most_docs, most_grams).select("doc_id", "n_shingles", "component_id")
+    return placed(docs, n, tenths, most_docs, most_grams, few).select("doc_id", "n_shingles", "component_id")
 
 
-def representatives(docs: DataFrame, n: int = 5, tenths: int = 80) -> DataFrame:
-    """One row of each component, the one of the smallest id, with the columns that it came with.
+def representatives(docs: DataFrame, n: int = 5, tenths: int = 80, few: int = FEW_ROWS) -> DataFrame:
+    """One row of each component, the one of the smallest id, with the columns that it came with, whatever their names.
 
-    Rows are told apart by id and text, and of rows equal in both one stays. Rows with a null id stay.
+    Rows are told apart by id and text, and of rows equal in both one stays. Rows with a null id stay, as do those with
+    null or empty texts. An empty table gives an empty result. Rows that go are looked up in a broadcast table where
+    they are few; else the documents are joined with them.
     """
-    found = placed(docs, n, tenths, MOST_DOCS, MOST_GRAMS)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "text_hash").distinct()
-    again = found.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = stored(gone.select("doc_id", "text_hash", F.lit(0).alias("__n")).union(again.select("doc_id", "text_hash", F.lit(1))))
-    names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("__row"), docs["doc_id"].cast("bigint").alias("__id"), F.xxhash64(docs["text"].cast("string")).alias("__hash"))
-    marked = keyed.join(marks, (F.col("__id") == F.col("doc_id")) & (F.col("__hash") == F.col("text_hash")), "left").select("__row", "__id", "__hash", "__n")
-    once = marked.where(F.col("__n") == 1).groupBy("__id", "__hash").agg(F.first("__row").alias("__row")).select("__row")
-    kept = marked.where(F.col("__n").isNull()).select("__row").union(once)
-    return kept.select(*[F.col("__row").getField(c).alias(c) for c in names])
-
-
-def placed(docs: DataFrame, n: int, tenths: int, most_docs: int, most_grams: int) -> DataFrame:
+    found = stored(placed(docs, n, tenths, MOST_DOCS, MOST_GRAMS, few))
+    key = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(*key).distinct().select("*", F.lit(0).alias("n"))
+    again = found.where(F.col("component_id") == F.col("doc_id")).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gone_id", "gone_hash", F.lit(1).alias("n"))
+    marks = stored(gone.union(again))
+    forget(found)
+    keyed = docs.select(whole_row(docs).alias("row"), docs["doc_id"].cast("bigint").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("hash"))
+    at = (F.col("id") == F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    marked = keyed.join(F.broadcast(marks) if marks.count() <= few else marks, at, "left")
+    once = marked.where(F.col("n") == 1).groupBy("id", "hash").agg(F.first("row").alias("row")).select("row")
+    return marked.where(F.col("n").isNull()).select("row").union(once).select(*fields("row", docs.columns))
+
+
+def placed(docs: DataFrame, n: int, tenths: int, most_docs: int, most_grams: int, few: int) -> DataFrame:
     """join() with text_hash, Spark's hash of the text, besides."""
     spark, docs = docs.sparkSession, documents(docs)
     found = stored(described(docs, n))
     rows = found.where(F.col("gram").isNull()).select("doc_id", "text_hash", "n_shingles", "fp")
-    top = found.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times")).where("times >= 32").orderBy(F.desc("times"), "gram").limit(LAST).collect()
-    last = np.array([r.gram for r in top], np.int64).view(U64)
-    rank = np.arange(len(top))[::-1]  # the most frequent at the very end
+    counts = found.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times"))
+    top = counts.where("times >= 32").orderBy(F.desc("times"), "gram").limit(LAST).toArrow()
+    last = top.column("gram").to_numpy().view(U64)
+    rank = np.arange(len(last))[::-1]  # the most frequent at the very end
     by_value = np.argsort(last)
     hot = spark.sparkContext.broadcast((last[by_value], rank[by_value]))
-    classes = stored(rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")))
+    head = F.conv(F.substring(F.hex("fp"), 1, 16), 16, -10).cast("bigint")
+    classes = stored(rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")).withColumn("head", head))
     clusters = stored(components(neighbours(docs, n, tenths, hot)))
-    links = stored(linked(docs, clusters, classes, n, tenths, most_docs, most_grams))
-    roots = components(links)
-    named = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = named.join(least, "root").select("fp", "component_id")
+    links = linked(docs, clusters, classes, n, tenths, most_docs, most_grams, few)
+    forget(clusters)
+    roots = stored(components(links))
+    forget(links)
+    named = classes.select("fp", "least").join(roots.withColumnRenamed("id", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = roots.join(named, "root").select(F.col("id").alias("fp"), "component_id")
+    alone = classes.select("fp", "least")
+    whole = alone.join(whole, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(whole, "fp", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import chat, jaccard, lattice, mixing, packing, privacy, quality, sharding, suffix_tree, tokens
-from quillon.llm.common import Bloom, components
+from quillon.llm.common import Bloom, components, shared_folder
 from quillon.llm.entry import TOKENIZERS
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -338,9 +338,29 @@ def test_jaccard(spark, docs, empty, n, tenths, most):
     got = Counter((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(df, n, tenths, most_docs=most).collect())
     assert got == brute_components(data(df), n, tenths)
     if most == 4:
-        assert jaccard.join(empty).count() == 0
-        kept = jaccard.representatives(docs)
-        assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 1
+        assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
+        joined = Counter((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(df, n, tenths, most_docs=most, few=0).collect())
+        assert joined == got
+    if tenths == 80:
+        least = {(d, c) for d, _, c in brute_components(data(docs), 5, 80)}
+        want = {d for d, c in least if d == c}
+        odd = docs.withColumns({"a.b": chat.F.lit(1), "hash": chat.F.lit(2), "id": chat.F.lit(3), "n": chat.F.lit(4), "gone_id": chat.F.lit(5)})
+        for few in (10**6, 0):
+            kept = jaccard.representatives(odd, few=few)
+            assert kept.columns == odd.columns and kept.where("doc_id = 7").count() == 1
+            assert {str(r.doc_id) for r in kept.collect()} == want | {"None"}
+            assert Counter(tuple(r) for r in kept.collect()) <= Counter(tuple(r) for r in odd.collect())
+
+
+def test_signatures_are_combined_before_they_travel(spark, monkeypatch):
+    """Copies of a passage in very many texts: rows of a signature per task and bound, not per text; nothing is lost."""
+    monkeypatch.setattr(jaccard, "MOST_SIGS", 500)
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(40)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(300)] + [(1000 + i, " ".join(f"x{rng.randint(0, 10**6)}" for _ in range(30))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.join(df).collect()}
+    assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
 def test_chat(spark):
@@ -368,10 +388,22 @@ def test_components(spark, monkeypatch):
 
 
 def test_bloom(spark):
-    bits = Bloom.build(spark.range(1000), "id")
-    keys = np.arange(1000).astype(np.uint64)
-    assert Bloom.has(bits, keys).all() and all(Bloom.maybe(bits.tobytes(), k) for k in range(1000))
-    assert Bloom.has(bits, np.arange(10**6, 10**6 + 10000).astype(np.uint64)).mean() < 0.01
+    for n in (0, 1000, 300_000):
+        bits = Bloom.build(spark.range(n), "id")
+        keys, others = np.arange(n).astype(np.uint64), np.arange(10**6, 10**6 + 10000).astype(np.uint64)
+        assert Bloom.has(bits, keys).all() and all(Bloom.maybe(bits.tobytes(), k) for k in range(min(n, 1000)))
+        assert Bloom.has(bits, others).mean() < 0.01
+        assert [Bloom.maybe(bits.tobytes(), int(k)) for k in others[:200]] == Bloom.has(bits, others[:200]).tolist()
+    assert len(bits) * 8 >= 12 * 300_000
+
+
+def test_shared_folder_is_never_made_up():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session)
 
 
 def test_pipeline(spark, tmp_path):
