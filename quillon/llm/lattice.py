@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Forest, arrow, by_key, components, grouped, mix, stored
+from quillon.llm.common import U64, Forest, arrow, by_key, components, forget, grouped, mix, stored, trimmed
 
 TABLES, BLOCKS, SCALE, SEED = 10, 2, 0.45, 7
 #: A bucket's rows are compared in one task up to so many; larger ones block by block.
 MOST_ROWS = 2000
+#: Two vectors that meet in a cell are compared if at most so many of 64 random signs differ; at a cosine of 0.95 some
+#: 6.5 do (deviation 2.4), at 0 some 32 (deviation 4).
+SIGNS, MOST_SIGNS = 64, 18
 
 
 @cache
@@ -64,22 +67,35 @@ def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, probes
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """The signs of SIGNS random projections of each row, as one 64-bit number."""
+    signs = x @ np.random.default_rng(SEED + 2).standard_normal((x.shape[1], SIGNS)) > 0
+    return np.packbits(signs, axis=1).view(U64).ravel()
+
+
 def unit_rows(vectors: list[bytes], dims: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), dims)
+    x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dims else np.float64) for v in vectors]).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def clean(values: pa.Array) -> list[bytes | None]:
-    """Each vector's components as double bytes; None for null, empty, zero or not fully finite ones."""
-    out = []
+def clean(values: pa.Array) -> tuple[list[bytes | None], list[int | None]]:
+    """Each vector's components times a power of two, as bytes of floats where those hold them exactly, else of doubles, and
+    their number; None for null, empty, zero or not fully finite vectors."""
+    out, dims = [], []
     for v in values:
         x = None
         if v.is_valid and not v.values.null_count and len(v.values):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
             top = np.abs(x).max()
-            x = (x / top).tobytes() if np.isfinite(x).all() and top > 0 else None
-        out.append(x)
-    return out
+            if np.isfinite(x).all() and top > 0:
+                x = np.ldexp(x, -int(np.frexp(top)[1])) + 0.0
+                short = x.astype(np.float32)
+                x = short if (short == x).all() else x
+            else:
+                x = None
+        out.append(None if x is None else x.tobytes())
+        dims.append(None if x is None else len(x))
+    return out, dims
 
 
 def meeting(own_x: np.ndarray, probes_x: np.ndarray, own_y: np.ndarray, probes_y: np.ndarray) -> np.ndarray:
@@ -94,14 +110,16 @@ def meeting(own_x: np.ndarray, probes_x: np.ndarray, own_y: np.ndarray, probes_y
 def dedup(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", value: str = "embedding", most_rows: int = MOST_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
-    Equal vectors (after division by the largest component, so powers of two of one vector too) are one class with a
-    count. Classes go to their own cell and its neighbours in every table; a bucket's cosines are computed as blocks of
-    one matrix product in double precision, and only counts per class and pairs that span the bucket leave the task. A
-    pair counts at one of the cells at which it meets, which both sides' keys tell. Buckets above ``most_rows`` are
-    split so that every two blocks meet in a task of their own.
+    Equal vectors (and powers of two times one vector) are one class with a count, told apart by 128-bit hashes.
+    Classes go to their own cell and its neighbours in every table, as numbers with a 64-bit sketch; only those that
+    have another one of like signs in a bucket go there again as vectors. A bucket's cosines are one matrix product in
+    double precision, and only counts per class and pairs that span the bucket leave the task. A pair counts at one of
+    the cells at which it meets, which both sides' keys tell. Buckets above ``most_rows`` are split so that every two
+    blocks meet in a task of their own.
 
     Null, empty, zero and not fully finite vectors link with nothing; vectors of other lengths are compared with their
-    like. Repeated ids stay rows of their own. An empty table gives an empty result.
+    like. Repeated ids stay rows of their own; rows of a null id count as others' links, but name no component. Further
+    columns, whatever their names, don't matter. An empty table gives an empty result.
     """
     base = vectors.select(vectors[key].cast("bigint").alias("vec_id"), vectors[value].cast("array<double>").alias("v"))
 
@@ -109,52 +127,66 @@ def dedup(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", value:
         import xxhash
 
         for b in batches:
-            raw = clean(b.column(1))
-            fp = [None if r is None else int(np.array(xxhash.xxh3_64_intdigest(r), U64).view(np.int64)) for r in raw]
-            yield arrow({"vec_id": b.column(0), "fp": fp, "raw": raw}, {"vec_id": pa.int64(), "fp": pa.int64(), "raw": pa.binary()})
+            raw, dims = clean(b.column(1))
+            full = [None if r is None else xxhash.xxh3_128_digest(r, seed=d) for r, d in zip(raw, dims, strict=True)]
+            yield arrow({"vec_id": b.column(0), "fp": full, "dims": dims, "raw": raw}, {"vec_id": pa.int64(), "fp": pa.binary(), "dims": pa.int32(), "raw": pa.binary()})
 
-    rows = stored(base.mapInArrow(read, "vec_id bigint, fp bigint, raw binary"))
+    rows = stored(base.mapInArrow(read, "vec_id bigint, fp binary, dims int, raw binary"))
     found = rows.where(F.col("fp").isNotNull())
-    classes = stored(found.groupBy("fp").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")))
+    classes = stored(found.groupBy("fp").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("dims").alias("dims"), F.first("raw").alias("raw")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"cell": pa.int64(), "own": pa.bool_(), "fp": pa.binary(), "sketch": pa.int64()}
         for b in batches:
-            fp, copies, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            length = np.array([len(r) // 8 for r in raw])
+            fp, length, raw = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(), b.column(2).to_pylist()
             for dims in np.unique(length):
                 at = np.flatnonzero(length == dims)
-                own, probes = cells(unit_rows([raw[i] for i in at], int(dims)))
+                x = unit_rows([raw[i] for i in at], int(dims))
+                own, probes = cells(x)
                 keys = np.concatenate([own[:, :, None], probes], axis=2).reshape(len(at), -1) ^ U64(int(dims) * 0x9E3779B9)
                 per = keys.shape[1]
                 role = np.tile(np.arange(per) % (BLOCKS + 1) == 0, len(at))
-                yield arrow(
-                    {"cell": keys.ravel().view(np.int64), "own": role, "fp": np.repeat(fp[at], per), "copies": np.repeat(copies[at], per)},
-                    {"cell": pa.int64(), "own": pa.bool_(), "fp": pa.int64(), "copies": pa.int64()},
-                )
+                yield arrow({"cell": keys.ravel().view(np.int64), "own": role, "fp": np.repeat(fp[at], per), "sketch": np.repeat(sketches(x).view(np.int64), per)}, kinds)
 
-    entries = classes.select("fp", "copies", "raw").mapInArrow(spread, "cell bigint, own boolean, fp bigint, copies bigint")
-    entries = stored(entries)
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a unit that have another row of like signs there."""
+        for t in grouped(batches, "unit"):
+            sketch, side, own = t.column("sketch").to_numpy().view(U64), t.column("side").to_numpy(), t.column("own").to_numpy()
+            alone, like = t.column("alone")[0].as_py(), np.zeros(len(sketch), bool)
+            for at in range(0, len(sketch), 500):
+                part = slice(at, at + 500)
+                near = np.bitwise_count(sketch[part, None] ^ sketch[None, :]) <= MOST_SIGNS
+                near &= (own[part, None] | own[None, :]) & (alone | (side[part, None] != side[None, :]))
+                here = np.arange(len(sketch))[part]
+                near[here - at, here] = False
+                like[part] = near.any(axis=1)
+            if like.any():
+                yield from t.select(["unit", "cell", "own", "fp", "side", "alone"]).filter(pa.array(like)).combine_chunks().to_batches()
+
+    entries = stored(classes.select("fp", "dims", "raw").mapInArrow(spread, "cell bigint, own boolean, fp binary, sketch bigint"))
     sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("own").cast("int")).alias("has"))
     crowded = sizes.where((F.col("n") > 1) & (F.col("has") == 1)).select("cell", F.ceil(F.col("n") / most_rows).cast("int").alias("blocks"))
     placed = entries.join(crowded, "cell").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = placed.select("cell", "own", "fp", "copies", "block", other.alias("other")).select(
+    units = placed.select("cell", "own", "fp", "sketch", "block", other.alias("other")).select(
         F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-        "cell", "own", "fp", "copies", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("alone"),
+        "cell", "own", "fp", "sketch", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("alone"),
     )
-    full = units.join(classes.select("fp", "raw"), "fp")
+    alike = stored(by_key(units, "unit").mapInArrow(trimmed(sift), "unit bigint, cell bigint, own boolean, fp binary, side int, alone boolean"))
+    forget(entries)
+    full = alike.join(classes.select("fp", "copies", "dims", "raw"), "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"fp": pa.int64(), "links": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+        kinds = {"fp": pa.binary(), "links": pa.int64(), "a": pa.binary(), "b": pa.binary()}
         for t in grouped(batches, "unit"):
-            raw = t.column("raw").to_pylist()
-            length = np.array([len(r) for r in raw])
+            raw, length = t.column("raw").to_pylist(), t.column("dims").to_numpy()
             if len(raw) < 2 or (length != length[0]).any():
                 continue
-            dims = int(length[0]) // 8
-            fp, copies, side, own, alone = (t.column(c).to_numpy() for c in ("fp", "copies", "side", "own", "alone"))
-            x = unit_rows(raw, dims)
-            near = np.argwhere((x @ x.T >= cosine) & (own[:, None] | own[None, :]) & (fp[:, None] < fp[None, :]) & (alone[0] | (side[:, None] != side[None, :])))
+            dims = int(length[0])
+            copies, side, own = (t.column(c).to_numpy() for c in ("copies", "side", "own"))
+            fp, alone = t.column("fp").to_numpy(), t.column("alone")[0].as_py()
+            x, number = unit_rows(raw, dims), np.unique(fp, return_inverse=True)[1]
+            near = np.argwhere((x @ x.T >= cosine) & (own[:, None] | own[None, :]) & (number[:, None] < number[None, :]) & (alone | (side[:, None] != side[None, :])))
             if not len(near):
                 continue
             mine, probes = cells(x)
@@ -176,7 +208,8 @@ def dedup(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", value:
                 none = [None] * len(p)
                 yield arrow({"fp": none, "links": none, "a": fp[list(p)], "b": fp[list(q)]}, kinds)
 
-    linked = stored(by_key(full, "unit", "fp").mapInArrow(compare, "fp bigint, links bigint, a bigint, b bigint"))
+    linked = stored(by_key(full, "unit", "fp").mapInArrow(trimmed(compare), "fp binary, links bigint, a binary, b binary"))
+    forget(alike)
     links = linked.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.sum("links").alias("links"))
     roots = components(linked.where(F.col("a").isNotNull()).select("a", "b"))
     named = classes.select("fp", "least", "copies").join(links, "fp", "left").join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
