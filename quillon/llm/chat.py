@@ -6,38 +6,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.llm.common import stored
+
+#: A conversation of more turns isn't one task's; so many narrow rows are broadcast; a rendered dialogue has at most so many characters.
+MOST_TURNS, FEW_ROWS, MOST_CHARS = 10_000, 100_000, 10_000_000
 #: Fixed markers of the rendered form.
 OPEN, BREAK, CLOSE = "<|", "|>\n", "<|end|>\n"
 ASSISTANT, OTHER = "assistant", "user:"
 
 
-def rotate(turns: DataFrame) -> DataFrame:
+def rotate(turns: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
     """For every participant of a conversation, the dialogue with that speaker as assistant and others as named users.
 
     One row per (conversation, perspective, turn): the rendered ``segment``, whether it is the assistant's, and the
     code points ``loss_start``..``loss_end`` of it that count in training (the assistant's text with its end marker;
     empty for others). ``position`` numbers the turns from 0; a conversation's text is its segments in that order,
-    joined by nothing. So a conversation that holds a large part of all turns never becomes one value or one task's
-    group: the ordering is a range partition with one total per partition and conversation, as in prefix sums.
+    joined by nothing; ``dialogues`` joins them. Texts move once, to their conversation. A conversation of more than
+    ``most_turns`` turns never becomes one task's group: its turns are numbered over a range partition with one total
+    per partition and conversation, as in prefix sums.
 
     Equal turn numbers are ordered by role, then text; repeated rows stay. A null role is the participant ``unknown``;
-    null text is empty; null turns come first; null conversation ids form one conversation. Empty tables give none.
+    null text is empty, and long texts are whole; null turns come first; null conversation ids form one conversation.
+    Other columns, whatever their names, don't matter. Empty tables give none.
     """
     t = turns.select(
         turns["conv_id"].cast("bigint").alias("conv_id"),
         turns["turn"].cast("bigint").alias("turn"),
         F.coalesce(turns["role"].cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(turns["text"].cast("string"), F.lit("")).alias("text"),
+        # The two together stand for the id, and join and group alike where it is null.
+        F.coalesce(turns["conv_id"].cast("bigint"), F.lit(0)).alias("c"),
+        turns["conv_id"].isNull().alias("lost"),
     )
-    placed = numbered(t)
-    people = t.groupBy(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).agg(F.count(F.lit(1)).alias("n")).drop("n")
+    key = ["c", "lost"]
+    huge = stored(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_turns).drop("n"))
+    people = t.groupBy(*key, F.col("speaker").alias("perspective")).agg(F.count(F.lit(1)).alias("n")).drop("n")
+    by = Window.partitionBy(*key).orderBy("turn", "speaker", "text")
+    number = huge.count()
+    if not number:
+        return rendered(t.withColumn("position", F.row_number().over(by) - 1).join(people, key))
+    few = F.broadcast(huge) if number <= FEW_ROWS else huge
+    usual = t.join(few, key, "left_anti").withColumn("position", F.row_number().over(by) - 1).join(people, key)
+    crowd = people.join(few, key, "left_semi")
+    crowd = F.broadcast(crowd) if crowd.count() <= FEW_ROWS else crowd
+    return rendered(usual).union(rendered(numbered(t.join(few, key, "left_semi")).join(crowd, key)))
+
+
+def rendered(seen: DataFrame) -> DataFrame:
+    """The segment of each turn from each perspective."""
     own = F.col("speaker") == F.col("perspective")
     name = F.when(own, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(OTHER), F.col("speaker")))
     head = F.concat(F.lit(OPEN), name, F.lit(BREAK))
-    return placed.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).select(
+    return seen.select(
         "conv_id",
         "perspective",
-        "position",
+        F.col("position").cast("bigint").alias("position"),
         "turn",
         "speaker",
         own.alias("is_assistant"),
@@ -47,19 +70,40 @@ def rotate(turns: DataFrame) -> DataFrame:
     )
 
 
+def dialogues(segments: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """conv_id, perspective, text and mask (the code points [start, end) that count in training) from rotate()'s rows.
+
+    Dialogues of more than ``most_chars`` code points, which no single value should hold, have null text and mask;
+    their segments stay what rotate() gives.
+    """
+    size = F.sum(F.char_length("segment").cast("bigint"))
+    part = F.struct("position", "segment", (F.col("loss_end") - F.col("loss_start")).alias("n"), "loss_start")
+    whole = segments.groupBy("conv_id", "perspective").agg(size.alias("chars"))
+    held = segments.join(whole.where(F.col("chars") <= most_chars).select(F.col("conv_id").alias("k"), F.col("perspective").alias("v")), F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("perspective") == F.col("v")), "left_semi")
+    parts = held.groupBy(F.col("conv_id").alias("k"), F.col("perspective").alias("v")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    add = lambda s, x: F.struct(
+        (s["at"] + F.char_length(x["segment"])).alias("at"),
+        F.when(x["n"] > 0, F.concat(s["mask"], F.array(F.struct((s["at"] + x["loss_start"]).alias("start"), (s["at"] + x["loss_start"] + x["n"]).alias("end"))))).otherwise(s["mask"]).alias("mask"),
+    )
+    mask = F.aggregate("parts", F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("mask")), add)["mask"]
+    return whole.join(parts, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("perspective") == F.col("v")), "left").select(
+        "conv_id", "perspective", F.array_join(F.transform("parts", lambda x: x["segment"]), "").alias("text"), mask.alias("mask")
+    )
+
+
 def numbered(t: DataFrame) -> DataFrame:
     """position: from 0 in each conversation, by (turn, speaker, text), without a task that needs a whole conversation."""
     n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from quillon.llm.common import stored
-
-    order = ["conv_id", "turn", "speaker", "text"]
-    dealt = stored(t.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("conv_id").alias("oc"), F.col("part").alias("op"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part", "conv_id").orderBy("turn", "speaker", "text")
-    here = dealt.withColumn("r", F.row_number().over(within))
-    return here.join(offsets, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("part") == F.col("op"))).select(*order, (F.col("before") + F.col("r") - 1).alias("position"))
+    key, order = ["c", "lost"], ["turn", "speaker", "text"]
+    dealt = t.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order)
+    # The number of a row in its partition, after the partition's number.
+    dealt = stored(dealt.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
+    counts = dealt.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*key, "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    # One row per partition and huge conversation.
+    return dealt.join(F.broadcast(offsets), [*key, "part"]).withColumn("position", F.col("row") + F.col("shift")).drop("part", "row", "shift")
 
 
 ORACLE = f"""
