@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import LOWER, U64, Bloom, Cache, arrow, documents, stored, trimmed
+from quillon.llm.common import LOWER, U64, Bloom, Cache, arrow, documents, fields, stored, trimmed, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term must occur with a value on so many lines.
@@ -229,8 +229,9 @@ def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES, few: i
     so that nothing of unbounded size is broadcast. Null text is empty and has no spans; repeated rows each keep
     theirs; an empty table gives none.
     """
-    names = [c for c in docs.columns if c != "text"]
-    docs, rest = documents(docs), docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), F.struct(*names).alias("row"))
+    others = docs.drop("text")
+    narrow = [docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")]
+    docs, rest = documents(docs), docs.select(*narrow, whole_row(others).alias("row"))
     kind = T.StructType([*rest.schema.fields, T.StructField("spans", T._parse_datatype_string("array<struct<start: bigint, end: bigint, kind: string>>"))])
     terms = revealing(docs, reach, least)
     context = docs.sparkSession.sparkContext
@@ -332,7 +333,10 @@ def generalised(text: str, found: list[Span]) -> str:
 
 
 def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES) -> DataFrame:
-    """The rows as they came, but for spans generalised in ``text``; null text stays null."""
+    """The rows as they came, whatever the names of their columns, but for spans generalised in ``text``.
+
+    Null text stays null, empty text empty; repeated rows stay; an empty table gives an empty result.
+    """
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,4 +345,5 @@ def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES) ->
 
     found = spans(docs, reach, least).select("text", "row", "spans")
     done = found.mapInArrow(trimmed(replace), T.StructType(found.schema.fields[:2]))
-    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    others = {n: c for n, c in zip(docs.columns, fields("row", docs.columns), strict=True) if n != "text"}
+    return done.select(*[others.get(c, F.col("text")) for c in docs.columns])

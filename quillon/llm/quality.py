@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import SPACE, U64, documents, mix, trimmed
+from quillon.llm.common import SPACE, U64, documents, fields, mix, trimmed, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -77,13 +77,6 @@ def text_counts(text: str) -> tuple[int, ...]:
     )
 
 
-def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [text_counts(t or "") for t in b.column(1).to_pylist()]
-        columns = list(zip(*found, strict=True)) or [()] * len(COUNTS)
-        yield arrow({"doc_id": b.column(0)} | dict(zip(COUNTS, columns, strict=True)), KINDS)
-
-
 def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """All columns of the input and COUNTS after them, in one pass without a shuffle. Null text counts as empty.
 
@@ -202,16 +195,17 @@ def base_failed() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Rule]:
-    """The decision list, learned from at most max_train labelled ids, those of the least hashes.
+    """The decision list, learned from at most max_train labelled ids, those of the least hashes, and as many rows of them.
 
-    Only their texts are counted here. Rows that fail the base rules teach nothing. Labels with a null quality or id
+    Only their texts are counted here; every cut between two values of a feature is tried. Rows that fail the base rules teach nothing. Labels with a null quality or id
     are left out; of an id that is labelled twice the lower quality counts. Without usable labels there are no rules.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
     texts = documents(docs).join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    rows = statistics(texts).where(~base_failed()).select("doc_id", *COUNTS, "quality").toPandas().sort_values(["doc_id", *COUNTS])
-    rows = rows.drop(columns="doc_id").to_numpy(dtype=np.int64)
+    order = ["doc_id", *COUNTS, "quality"]
+    some_rows = statistics(texts).where(~base_failed()).select(*order).orderBy(F.xxhash64(*order), *order).limit(max_train)
+    rows = some_rows.toPandas().sort_values(order).drop(columns="doc_id").to_numpy(dtype=np.int64)
     return learn(rows[:, :-1], rows[:, -1] == 0) if len(rows) else []
 
 
@@ -235,9 +229,12 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
 
 
 def keep(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows that judge() keeps, with the columns that they came with."""
+    """The rows that judge() keeps, with the columns that they came with, whatever their names.
+
+    Null and empty texts have fewer words than the base rules ask for, so they go; a null id changes nothing; repeated
+    rows stay or go together; an empty table gives an empty result.
+    """
     rules = fit(docs, labels, max_train)
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("__row"), docs["text"].cast("string").alias("text"))
+    held = docs.select(whole_row(docs).alias("row"), docs["text"].cast("string").alias("text"))
     counted = statistics(held).where(~base_failed() & verdict(rules).isNull())
-    return counted.select(*[F.col("__row").getField(n).alias(n) for n in names])
+    return counted.select(*fields("row", docs.columns))

@@ -103,9 +103,14 @@ def test_plan_is_best_fit_decreasing():
             else:
                 room.append(capacity - s)
         steps = packing.plan(Counter(sizes), capacity)
-        assert steps["bin"].max() + 1 <= len(room)
-        first_steps = steps["bin"][steps["offset"] == 0]
-        assert len(first_steps)
+        used, first = defaultdict(list), Counter()
+        for length, begin, per, at, offset in zip(*(steps[k].tolist() for k in ("length", "first", "per", "bin", "offset")), strict=True):
+            later = [x for n, x in zip(steps["length"].tolist(), steps["first"].tolist(), strict=True) if n == length and x > begin]
+            for i in range(begin, min([*later, Counter(sizes)[length]])):
+                used[at + (i - begin) // per].append((offset + (i - begin) % per * length, length))
+                first[length] += 1
+        assert first == Counter(sizes) and sorted(capacity - sum(n for _, n in b) for b in used.values()) == sorted(room)
+        assert all([o for o, _ in sorted(b)] == [0, *list(itertools.accumulate(n for _, n in sorted(b)))[:-1]] for b in used.values())
 
 
 def test_suffix_tree(docs, empty):
@@ -117,7 +122,7 @@ def test_suffix_tree(docs, empty):
     n, v = sum(count.values()), len(count)
     want = sorted((-1 if d is None else d, held(d), len(ts), sum(count[w] > 0 for w in ts), n, round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts), 6)) for d, ts in toks)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) * 1.6
+    assert all(r.score < 0 and r.base_score < 0 for r in got)
     after = brute_tree([ts for d, ts in toks if not held(d)])
     total = lambda ts: sum(math.log10(after(w[:-1], w[-1])) for w in byte_windows(ts))
     scores = sorted(round(total(ts), 5) for d, ts in toks)
@@ -183,6 +188,11 @@ def test_quality(spark, docs, empty):
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got)
     kept = quality.keep(docs, labels)
     assert kept.columns == docs.columns and kept.count() == quality.judge(docs, labels)[0].where("kept").count()
+    odd = docs.withColumns({"a.b": chat.F.lit(1), "n_words": chat.F.lit(2), "quality": chat.F.lit(3)})
+    again = quality.keep(odd, labels)
+    assert again.columns == odd.columns and again.count() == kept.count() and all(r["n_words"] == 2 and r["a.b"] == 1 for r in again.collect())
+    many = spark.createDataFrame([(1000, " ".join(f"w{j}" for j in range(30 + i))) for i in range(400)], "doc_id bigint, text string")
+    assert len(quality.fit(both.union(many), labels, max_train=50)) <= 12
     assert quality.keep(empty, labels).count() == 0
     assert quality.judge(docs, labels.limit(0))[1] == []
 
@@ -203,47 +213,111 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def cells_of(spark, size):
+    return spark.createDataFrame([(*k, n) for k, n in size.items()], "source string, lang string, topic string, tokens bigint")
+
+
 def test_raking_meets_marginals(spark):
     rng = random.Random(2)
-    cells = spark.createDataFrame([(s, la, t, rng.randint(1, 90)) for s in "abc" for la in "xy" for t in "pq"], "__source string, __lang string, __topic string, tokens bigint")
-    rows = mixing.raked(cells, 20, 0.5).collect()
-    for axis in ("__source", "__lang", "__topic"):
+    size = {(s, la, t): rng.randint(1, 90) for s in "abc" for la in "xy" for t in "pq"}
+    rows = mixing.fit(cells_of(spark, size), 0.6, 0.5)[0].collect()
+    for axis in mixing.AXES:
         own = defaultdict(float)
         natural = defaultdict(float)
         for r in rows:
             own[r[axis]] += r.weight
-            natural[r[axis]] += r.tokens
+            natural[r[axis]] += size[r.source, r.lang, r.topic]
         norm = sum(v**0.5 for v in natural.values())
         assert all(abs(own[k] - natural[k] ** 0.5 / norm) < 1e-3 for k in own)
-    p = mixing.calibrated(mixing.raked(cells, 20, 0.5), 0.6).collect()
-    size = {(r["__source"], r["__lang"], r["__topic"]): r.tokens for r in rows}
-    assert abs(sum(r.p * size[r["__source"], r["__lang"], r["__topic"]] for r in p) - 0.6 * sum(size.values())) < 1e-6
-
-
-def test_sampled_tokens_meet_reachable_marginals(spark):
+    assert abs(sum(r.p * size[r.source, r.lang, r.topic] for r in rows) - 0.6 * sum(size.values())) < 1e-6 * sum(size.values())
+
+
+def filled(natural, goal, budget):
+    """min(natural, c * goal) per value, for the c by which they sum to the budget: by bisection."""
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        c = (low + high) / 2
+        low, high = (low, c) if sum(min(v, c * goal[k]) for k, v in natural.items()) > budget else (c, high)
+    return {k: min(v, c * goal[k]) for k, v in natural.items()}
+
+
+def brute_fit(size, share, goals):
+    """Bounded raking, each step by bisection: for each axis value the factor by which min(1, ...) meets its reachable tokens."""
+    natural = [defaultdict(float) for _ in range(3)]
+    for k, n in size.items():
+        for axis in range(3):
+            natural[axis][k[axis]] += n
+    reach = [filled(natural[a], goals(a, natural[a]), share * sum(size.values())) for a in range(3)]
+    ratio = dict.fromkeys(size, 1.0)
+    for step in range(600):
+        axis = step % 3
+        for v, want in reach[axis].items():
+            own = {k: n for k, n in size.items() if k[axis] == v}
+            low, high = 0.0, 1e6
+            for _ in range(60):
+                c = (low + high) / 2
+                low, high = (low, c) if sum(n * min(1, c * ratio[k]) for k, n in own.items()) > want else (c, high)
+            if want > sum(own.values()) - 1e-6:
+                c = max(1.0, 1 / min(ratio[k] for k in own))
+            for k in own:
+                ratio[k] *= c
+    return {k: min(1.0, r) for k, r in ratio.items()}, natural, reach
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"x": 0.3}, "topic": {"p": 0.5, "q": 0.25, "r": 0.25}}])
+def test_sampled_tokens_meet_reachable_marginals(spark, targets):
     """The marginals of probability times tokens, not of weights before clipping; a target beyond its tokens is all of them."""
     rng = random.Random(6)
     size = {(s, la, t): rng.randint(1, 90) * (40 if t == "p" else 1) for s in "abc" for la in "xy" for t in "pqr"}
-    cells = spark.createDataFrame([(*k, n) for k, n in size.items()], "__source string, __lang string, __topic string, tokens bigint")
     share, total = 0.6, sum(size.values())
-    got = mixing.calibrated(mixing.bounded(mixing.raked(cells, 8, 0.7), share, 8, 0.7), share).collect()
-    p = {(r["__source"], r["__lang"], r["__topic"]): r.p for r in got}
+
+    def goals(axis, natural):
+        given = (targets or {}).get(mixing.AXES[axis])
+        if not given:
+            return {k: v**0.7 for k, v in natural.items()}
+        others = sum(v for k, v in natural.items() if k not in given)
+        return {k: given[k] if k in given else (1 - sum(given.values())) * v / others for k, v in natural.items()}
+
+    fitted, report = mixing.fit(cells_of(spark, size), share, 0.7, targets=targets)
+    p = {(r.source, r.lang, r.topic): r.p for r in fitted.collect()}
+    want, natural, reach = brute_fit(size, share, goals)
     assert len(p) == len(size) and all(0 < v <= 1 for v in p.values())
-    full = 0
-    for axis in range(3):
-        natural, own = defaultdict(float), defaultdict(float)
-        for k, n in size.items():
-            natural[k[axis]] += n
-            own[k[axis]] += n * p[k]
-        low, high = 0.0, 1e9
-        for _ in range(200):
-            c = (low + high) / 2
-            low, high = (low, c) if sum(min(v, c * v**0.7) for v in natural.values()) > share * total else (c, high)
-        full += sum(c * v**0.7 > v for v in natural.values())
-        assert all(abs(own[k] - min(v, c * v**0.7)) < 0.002 * total for k, v in natural.items())
+    assert all(abs(p[k] - want[k]) < 0.002 for k in size)
+    told, full = {(r.axis, r.value): r for r in report.collect()}, 0
+    for axis, name in enumerate(mixing.AXES):
+        norm = sum(goals(axis, natural[axis]).values())
+        for k, v in natural[axis].items():
+            own = sum(n * p[c] for c, n in size.items() if c[axis] == k)
+            full += reach[axis][k] > v - 1e-6
+            r = told[name, k]
+            assert abs(own - reach[axis][k]) < 0.002 * total and r.natural == v
+            assert abs(r.goal - goals(axis, natural[axis])[k] / norm) < 1e-9
+            assert abs(r.reachable - reach[axis][k] / (share * total)) < 1e-6 and abs(r.expected - own / (share * total)) < 1e-9
     assert full
 
 
+def test_mixing_of_odd_columns_and_given_tokens(spark, docs, empty):
+    odd = docs.withColumns({"p": chat.F.lit(1), "tokens": chat.F.lit(2), "__tokens": chat.F.lit(3), "a.b": chat.F.lit(4), "topic": chat.F.lit("mine"), "id": chat.F.lit(5)})
+    got = mixing.mix(odd, share=1.0, tokens=chat.F.length("text"))
+    assert got.columns == [*(c for c in odd.columns if c != "topic"), *mixing.ADDED]
+    rows = got.collect()
+    assert len(rows) == docs.count() and all((r.p, r["tokens"], r["__tokens"], r["a.b"], r.id) == (1, 2, 3, 4, 5) for r in rows)
+    assert all(r.n_tokens == max(1, len(r.text or "")) and r.probability == 1 for r in rows)
+    for bad in ({"colour": {}}, {"lang": {"en": 0.7, "de": 0.7}}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, targets=bad)
+
+
+def test_sample_is_the_hash_below_the_probability(docs):
+    """Each id by itself: the first 52 bits of md5 of seed and id, against the probability that is reported."""
+    whole = {(r.doc_id, r.text): r for r in mixing.mix(docs, share=0.5).collect()}
+    cells = mixing.fit(mixing._cells(mixing._marked(docs, None, None)), 0.5)[0].collect()
+    p = {(r.source, r.lang, r.topic): r.p for r in cells}
+    for r in mixing.mix(docs, share=1.0).collect():
+        unit = int(hashlib.md5(f"1:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        assert ((r.doc_id, r.text) in whole) == (unit < p[r.source or "unknown", r.lang or "unknown", r.topic])
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 64))
@@ -261,9 +335,28 @@ def test_near_vectors(spark):
         assert close.sum() - n >= found >= 0.95 * (close.sum() - n)
         assert all(got[i].n_links == 0 and got[i].kept for i in (n, n + 1, n + 2, n + 3, n + 6)) and got[n + 5].component_id == n + 4
         assert got[n - 1].component_id == 0
+        up = list(range(n))
+        find = lambda i: i if up[i] == i else find(up[i])
+        for i, j in np.argwhere(close).tolist():
+            up[max(find(i), find(j))] = min(find(i), find(j))
+        if found == close.sum() - n:
+            assert all((got[i].n_links, got[i].component_id, got[i].kept) == (close[i].sum() - 1, find(i), find(i) == i) for i in range(n))
+        else:
+            assert all(got[i].n_links <= close[i].sum() - 1 and find(got[i].component_id) == find(i) for i in range(n))
+    more = df.withColumnRenamed("vec_id", "id").selectExpr("case when id = 1 then null else id end as vec_id", "embedding", "1 as fp", "2 as raw", "3 as `a.b`")
+    odd = lattice.dedup(more).collect()
+    assert len(odd) == len(rows) and sum(r.vec_id is None for r in odd) == 1
     assert lattice.dedup(df.limit(0)).count() == 0
 
 
+def test_scaled_vectors(spark):
+    """Copies by powers of two are one class; values that floats can't hold stay doubles."""
+    v = [0.1, -0.7, 3.0, 1e-30]
+    rows = [(0, v), (1, [x * 4 for x in v]), (2, [x * 1.0000001 for x in v]), (3, [-x for x in v]), (4, [0.1, -0.7, 3.0, -0.0]), (5, [0.1, -0.7, 3.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (0, 3), 4: (4, 0), 5: (4, 0)}
+
+
 def test_privacy(docs, empty, spark):
     assert privacy.base_spans("a@b.c@d.e 1.2.3.4.5.6.7.8 300.1.1.1 +1 (663) 555-6869. x") == [(0, 5, "email"), (10, 17, "ip"), (18, 25, "ip"), (36, 53, "phone")]
     assert privacy.base_spans("4465 7583-8288 9437") == [(0, 19, "card")] and privacy.base_spans("4465758382889438") == []
@@ -276,6 +369,10 @@ def test_privacy(docs, empty, spark):
     clean = privacy.sanitise(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert clean.where("text like '%[EMAIL]%[PHONE]%[IP]%[CARD]%'").count() == 1 and clean.where("text is null").count() == 1
+    odd = docs.withColumns({"a.b": chat.F.lit(1), "spans": chat.F.lit(2), "doc": chat.F.lit(3)})
+    again = privacy.sanitise(odd)
+    assert again.columns == odd.columns and {(r["a.b"], r["spans"]) for r in again.collect()} == {(1, 2)}
+    assert sorted(str(r.text) for r in again.collect()) == sorted(str(r.text) for r in clean.collect())
     assert privacy.sanitise(empty).count() == 0
 
 
@@ -301,6 +398,14 @@ def test_sharding(docs, empty):
         own = [r for r in got if r.shard == s]
         assert sorted(r.slot for r in own) == list(range(len(own))) and 0 <= s < 24
         assert sum(r["size"] for r in own) <= total / 24 + top
+    at, rank = 0, Counter()
+    want = []
+    for d, crc, size in sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r["size"]) for r in got):
+        number = (2 * at + size) * 24 // (2 * total)
+        want.append((d, crc, size, number, rank[number]))
+        rank[number] += 1
+        at += size
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in got) == want
     order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [-1 if r.doc_id is None else r.doc_id for r in order] == sorted(-1 if r.doc_id is None else r.doc_id for r in order)
     assert sharding.shard(empty).count() == 0
@@ -366,12 +471,27 @@ def test_signatures_are_combined_before_they_travel(spark, monkeypatch):
 def test_chat(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 1, "cy", None), (1, 1, "bob", "yo"), (2, None, None, "x"), (None, 0, "ann", "lost")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("part", chat.F.lit(1)).repartition(3)
-    got = chat.rotate(df).collect()
-    assert len(got) == 4 * 3 + 1 + 1
-    bob = sorted((r for r in got if r.conv_id == 1 and r.perspective == "bob"), key=lambda r: r.position)
-    assert "".join(r.segment for r in bob) == "<|user:ann|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n<|assistant|>\nyo<|end|>\n<|user:cy|>\n<|end|>\n"
-    assert [r.segment[r.loss_start : r.loss_end] for r in bob] == ["", "yo<|end|>\n", "yo<|end|>\n", ""]
-    assert chat.rotate(df.limit(0)).count() == 0
+    for most in (10_000, 2):
+        got = chat.rotate(df, most).collect()
+        assert len(got) == 4 * 3 + 1 + 1
+        bob = sorted((r for r in got if r.conv_id == 1 and r.perspective == "bob"), key=lambda r: r.position)
+        assert "".join(r.segment for r in bob) == "<|user:ann|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n<|assistant|>\nyo<|end|>\n<|user:cy|>\n<|end|>\n"
+        assert [r.segment[r.loss_start : r.loss_end] for r in bob] == ["", "yo<|end|>\n", "yo<|end|>\n", ""]
+        whole = {(r.conv_id, r.perspective): r for r in chat.dialogues(chat.rotate(df, most)).collect()}
+        assert len(whole) == 3 + 1 + 1 and whole[1, "bob"].text == "".join(r.segment for r in bob)
+        assert [whole[1, "bob"].text[m.start : m.end] for m in whole[1, "bob"]["mask"]] == ["yo<|end|>\n", "yo<|end|>\n"]
+        assert whole[None, "ann"].text == "<|assistant|>\nlost<|end|>\n" and whole[2, "unknown"].text == "<|assistant|>\nx<|end|>\n"
+    huge = {(r.conv_id, r.perspective): r.text for r in chat.dialogues(chat.rotate(df), most_chars=40).collect()}
+    assert huge[1, "bob"] is None and huge[None, "ann"]
+    assert chat.rotate(df.limit(0)).count() == 0 and chat.dialogues(chat.rotate(df.limit(0))).count() == 0
+
+
+def test_one_huge_conversation(spark):
+    rng = random.Random(8)
+    rows = [(5, i // 2, rng.choice("ab"), "long " * 3000 if i == 7 else f"t{rng.randint(0, 3)}") for i in range(400)] + [(i, 0, "a", "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, chat.rotate(df, 100).collect())) == sorted(map(key, chat.rotate(df).collect()))
 
 
 def test_components(spark, monkeypatch):
