@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -14,6 +15,8 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_VIEWS = threading.RLock()
+
 
 class Catalog:
     """Maps table names to Parquet paths; nothing is read before a table is asked for."""
@@ -50,7 +53,22 @@ class Catalog:
         return self.table(name).schema
 
     def sql(self, text: str) -> DataFrame:
-        """Runs one statement; the tables that it mentions become views first."""
-        for word in set(re.findall(r"[A-Za-z_]\w*", text)) & self._paths.keys():
-            self.table(word).createOrReplaceTempView(word)
-        return self.spark.sql(text)
+        """Runs one statement. Tables that it mentions are views while it is analysed, one statement at a time.
+
+        So catalogs with equal table names don't disturb each other, and views that were there before come back.
+        """
+        with _VIEWS:
+            mine, before = sorted(set(re.findall(r"[A-Za-z_]\w*", text)) & self._paths.keys()), {}
+            try:
+                for word in mine:
+                    frame = self.table(word)
+                    if any(t.isTemporary and t.name.lower() == word.lower() for t in self.spark.catalog.listTables(pattern=word)):
+                        before[word] = self.spark.table(word)
+                    frame.createOrReplaceTempView(word)
+                return self.spark.sql(text)
+            finally:
+                for word in mine:
+                    if word in before:
+                        before[word].createOrReplaceTempView(word)
+                    else:
+                        self.spark.catalog.dropTempView(word)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillon.errors import EngineError, ErrorCode
 from quillon.operators.scan import require
 
-#: The most bytes, by Catalyst's estimate, that broadcast_small() will hint.
+#: The most bytes, by Catalyst's estimate, that broadcast_small() will hint and gather() will take.
 BROADCAST_BYTES = 64 << 20
+#: So many rows gather() takes whatever the estimate, which is unknown for rows made in the program.
+GATHER_ROWS = 100_000
 
 
 def hash_exchange(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
@@ -24,8 +26,10 @@ def round_robin(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions)
 
 
-def gather(df: DataFrame) -> DataFrame:
-    """One partition, for small results only."""
+def gather(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int = GATHER_ROWS) -> DataFrame:
+    """One partition, for small results only: more bytes than the limit, by estimate, and more rows than ``rows`` are refused."""
+    if (size := estimated_bytes(df)) > limit and df.limit(rows + 1).count() > rows:
+        raise EngineError(ErrorCode.INVALID_ARGUMENT, f"{size} bytes, by estimate, are too much for one partition; at most {limit}, or {rows} rows")
     return df.coalesce(1)
 
 

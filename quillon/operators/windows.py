@@ -34,3 +34,18 @@ def first_last(df: DataFrame, keys: list[str], order: list[str | Column], column
     w = window(keys, order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumns({first: F.first(column).over(w), last: F.last(column).over(whole)})
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, take: list[str]) -> DataFrame:
+    """Each left row with the columns ``take`` of the last right row of its keys whose ``time`` isn't after its own.
+
+    Both sides are sorted once by keys and time, right rows first at equal times; a window carries the last right row
+    on. One shuffle, no pairs. Of right rows with equal keys and time the one of the largest ``take`` values counts;
+    left rows without one keep nulls.
+    """
+    one = left.select(*keys, F.col(time), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*take).alias("s")).schema["s"].dataType).alias("_right"))
+    two = right.select(*keys, F.col(time), F.lit(None).cast(one.schema["_left"].dataType).alias("_left"), F.struct(*take).alias("_right"))
+    # Rows in ROWS order: a left row follows all right rows of its time.
+    order = Window.partitionBy(*keys).orderBy(time, F.col("_left").isNotNull(), "_right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = one.union(two).withColumn("_last", F.last("_right", ignorenulls=True).over(order)).where(F.col("_left").isNotNull())
+    return found.select("_left.*", *[F.col("_last").getField(c).alias(c) for c in take])

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from quillon import operators as ops
 from quillon.catalog import Catalog
+from quillon.functions import register_pure
 from quillon.operators import AggSpec
 from quillon.sources import sample_table
-from quillon.streaming import windowed_counts
+from quillon.streaming import session_counts, windowed_counts
 
 Build = Callable[[Catalog], DataFrame]
 
@@ -25,6 +26,32 @@ def _decimal_sum(c: Catalog) -> DataFrame:
     return ops.aggregate(exact, ["l_returnflag"], [AggSpec("sum", "x", "s")]).withColumn("s", F.col("s").cast("double"))
 
 
+def _asof(c: Catalog) -> DataFrame:
+    """Each event with the last purchase of the same user up to then."""
+    events = c.table("events")
+    bought = ops.filter_rows(events, "event_type", "=", "purchase").select("user_id", "ts", F.col("event_id").alias("bought"))
+    return ops.asof_join(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["bought"]).select("event_id", "bought")
+
+
+def _registered(c: Catalog) -> DataFrame:
+    register_pure(c.spark, "quillon_twice", "bigint", lambda s: s * 2)
+    return c.sql("SELECT p_partkey, quillon_twice(CAST(p_size AS BIGINT)) AS v FROM part")
+
+
+def _text(column: str) -> F.Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def _sliding(c: Catalog) -> DataFrame:
+    found = windowed_counts(c.table("events"), "ts", ["event_type"], width="1 hour", slide="30 minutes")
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _sessions(c: Catalog) -> DataFrame:
+    found = session_counts(c.table("events"), "ts", ["user_id"], gap="1 hour")
+    return found.withColumns({"session_start": _text("session_start"), "session_end": _text("session_end")})
+
+
 def _count_by(c: Catalog, table: str, *keys: str) -> DataFrame:
     return ops.aggregate(c.table(table), keys, [AggSpec("count")])
 
@@ -220,6 +247,40 @@ BUILT: dict[str, tuple[Build, str]] = {
         lambda c: windowed_counts(c.table("events"), "ts", ["event_type"]).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")),
         "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS count FROM events GROUP BY 1, 2",
     ),
+    "sliding_counts": (
+        _sliding,
+        "WITH e AS (SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) AS b FROM events), "
+        "w AS (SELECT event_type, b FROM e UNION ALL SELECT event_type, b - INTERVAL '30 minutes' FROM e) "
+        "SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS count FROM w GROUP BY 1, 2",
+    ),
+    "session_counts": (
+        _sessions,
+        "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+        "s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g) "
+        "SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S.%f') AS session_end, "
+        "user_id, count(*) AS count FROM s GROUP BY user_id, n",
+    ),
+    "asof_join": (
+        _asof,
+        "SELECT e.event_id, b.event_id AS bought FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON e.user_id = b.user_id AND e.ts >= b.ts",
+    ),
+    "registered_udf": (_registered, "SELECT p_partkey, CAST(p_size AS BIGINT) * 2 AS v FROM part"),
+    "semi_op": (
+        lambda c: ops.semi_join(c.table("customer").select("c_custkey"), c.table("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
+        "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    ),
+    "anti_op": (
+        lambda c: ops.anti_join(c.table("customer").select("c_custkey"), c.table("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    ),
+    "intersect_all": (
+        lambda c: ops.intersect(c.table("customer").select(F.col("c_nationkey").alias("k")), c.table("supplier").select("s_nationkey"), all_rows=True),
+        "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    ),
+    "except_all": (
+        lambda c: ops.except_(c.table("customer").select(F.col("c_nationkey").alias("k")), c.table("supplier").select("s_nationkey"), all_rows=True),
+        "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
+    ),
 }
 
 #: One SQL text for both engines, or a pair (Spark, oracle).
@@ -257,6 +318,62 @@ SQL: dict[str, str | tuple[str, str]] = {
     ),
     "running_count": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM events",
     "three_way_join": "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "star_and_more": "SELECT *, n_nationkey > 3 AS later FROM nation",
+    "literal_op_column": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE 45 < l_quantity",
+    "column_op_column": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < l_linenumber",
+    "bare_boolean": "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice > 100000 AS big FROM orders) t WHERE big",
+    "null_literal": "SELECT n_nationkey, CAST(NULL AS BIGINT) AS nothing FROM nation WHERE n_nationkey = 3 OR CAST(NULL AS BOOLEAN)",
+    "boolean_literal": "SELECT n_nationkey, TRUE AS yes, FALSE AS no FROM nation WHERE TRUE",
+    "is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
+    "unary_minus": "SELECT o_orderkey, -o_totalprice AS v FROM orders WHERE -o_totalprice < -300000",
+    "group_by_expression": "SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY CAST(floor(l_quantity / 10) AS BIGINT)",
+    "group_by_all": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "within_group": "SELECT o_orderpriority, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY o_totalprice), 4) AS q FROM orders GROUP BY o_orderpriority",
+    "ignore_nulls": (
+        "SELECT event_id, last_value(CASE WHEN value > 20 THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events",
+        "SELECT event_id, last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events",
+    ),
+    "subquery_in_aggregate": "SELECT CAST(sum(CASE WHEN o_totalprice > (SELECT avg(o_totalprice) FROM orders) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM orders",
+    "range_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW) AS n FROM orders",
+    "percent_rank": "SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 9) AS p FROM orders",
+    "sum_over": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s FROM orders",
+    "theta_join": "SELECT r_regionkey, count(*) AS n FROM region JOIN nation ON n_regionkey < r_regionkey GROUP BY r_regionkey",
+    "range_join": "SELECT n_nationkey, count(*) AS n FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 6 GROUP BY n_nationkey",
+    "order_by": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
+    "string_functions": (
+        "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substring(p_name, 2, 3) AS s, concat(p_brand, '-', p_type) AS c, "
+        "replace(p_name, 'e', '') AS r, lpad(p_brand, 12, '*') AS l, CAST(instr(p_name, 'r') AS BIGINT) AS i FROM part"
+    ),
+    "date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(quarter(o_orderdate) AS BIGINT) AS q FROM orders",
+    "math_functions": "SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS r, CAST(ceil(o_totalprice) AS BIGINT) AS c, abs(o_totalprice - 150000) AS a, o_orderkey % 7 AS m, round(ln(o_totalprice + 1), 6) AS l FROM orders",
+    "json_functions": (
+        "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    ),
+    "array_functions": (
+        "SELECT n_regionkey, CAST(size(array_agg(n_name)) AS BIGINT) AS n, array_contains(array_agg(n_nationkey), 3) AS has, element_at(array_sort(array_agg(n_name)), 1) AS first FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, len(array_agg(n_name)) AS n, list_contains(array_agg(n_nationkey), 3) AS has, list_sort(array_agg(n_name))[1] AS first FROM nation GROUP BY n_regionkey",
+    ),
+    "map_functions": (
+        "SELECT o_orderkey, element_at(map('O', 'open', 'F', 'filled'), o_orderstatus) AS s FROM orders WHERE o_orderstatus IN ('O', 'F')",
+        "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'filled' END AS s FROM orders WHERE o_orderstatus IN ('O', 'F')",
+    ),
+    "recursive_cte": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT CAST(n AS BIGINT) AS n FROM t",
+    "lateral": "SELECT n_name, x.c FROM nation, LATERAL (SELECT count(*) AS c FROM supplier WHERE s_nationkey = n_nationkey) x",
+    "pivot": (
+        "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_orderkey FROM lineitem) PIVOT (count(l_orderkey) FOR l_linestatus IN ('F' AS f, 'O' AS o))",
+        "SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o FROM lineitem GROUP BY l_returnflag",
+    ),
+    "approx_distinct": (
+        "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS close FROM orders GROUP BY o_orderpriority",
+        "SELECT DISTINCT o_orderpriority, TRUE AS close FROM orders",
+    ),
+    # An approximate percentile of accuracy 10,000 is exact in rank on groups this small: the least value of at least that rank.
+    "approx_percentile": (
+        "SELECT l_returnflag, approx_percentile(l_quantity, 0.5, 1000000) AS m FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS m FROM lineitem GROUP BY l_returnflag",
+    ),
 }
 
 

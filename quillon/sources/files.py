@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Iterator
+from typing import Any, BinaryIO
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,26 @@ def sample_table(spark: SparkSession, rows: int = 100_000) -> DataFrame:
 def summary(df: DataFrame, rows: int = 3) -> dict:
     """Row count, schema and the first few rows."""
     return {"rows": df.count(), "schema": df.schema.simpleString(), "head": df.limit(rows).collect()}
+
+
+def write_arrow_stream(df: DataFrame, sink: BinaryIO) -> int:
+    """Writes the rows as one Arrow IPC stream, a partition at a time on the driver; returns their number."""
+    import pyarrow as pa
+
+    def packed(batches: Iterator) -> Iterator:
+        for b in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_pydict({"part": [out.getvalue().to_pybytes()]})
+
+    rows, writer = 0, None
+    for row in df.mapInArrow(packed, "part binary").toLocalIterator():
+        for b in pa.ipc.open_stream(bytes(row.part)):
+            writer = writer or pa.ipc.new_stream(sink, b.schema)
+            writer.write_batch(b)
+            rows += b.num_rows
+    if writer is None:
+        writer = pa.ipc.new_stream(sink, df.limit(0).toArrow().schema)
+    writer.close()
+    return rows

@@ -1,9 +1,13 @@
 """Operators on small fixtures: NULL, NaN, types, rejections, plans, sources, handles and streams."""
 
+import io
+import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import datasource
 from pyspark.sql import functions as F
 
 from quillon import Catalog, EngineError, QueryState, submit
@@ -12,7 +16,7 @@ from quillon import operators as ops
 from quillon.operators import AggSpec
 from quillon.operators.scan import parse_partition
 from quillon.plans import executed_plan, pushed_filters, read_columns, shuffles
-from quillon.sources import connector, from_rows, read_files, register, sample_table, summary, write_parquet
+from quillon.sources import connector, from_rows, read_files, register, sample_table, summary, write_arrow_stream, write_parquet
 from quillon.streaming import parquet_stream, run_to_memory, windowed_counts
 
 DATA = "/root/testdata/sf0.001"
@@ -144,6 +148,88 @@ def test_connector_round_trip(spark, groups, tmp_path):
     assert sorted(map(tuple, back.collect())) == GROUPS
 
 
+def test_connector_appends_overwrites_and_empty(spark, groups, tmp_path):
+    register(spark)
+    path = str(tmp_path / "parts")
+    write = lambda df, mode: df.write.format("partfiles").mode(mode).option("path", path).save()
+    read = lambda schema=SCHEMA, **o: spark.read.format("partfiles").schema(schema).options(path=path, **o).load()
+    write(groups, "append")
+    write(groups, "append")
+    assert connector.stats(path).rows == 12 and sorted(map(tuple, read().collect())) == sorted(GROUPS * 2)
+    write(groups.where("id < 5"), "overwrite")
+    assert sorted(map(tuple, read().collect())) == GROUPS[:4]
+    assert sum(f.endswith(".arrow") for f in os.listdir(path)) == len(connector.manifest(path)["parts"])
+    write(groups.limit(0), "overwrite")
+    assert read().collect() == [] and connector.stats(path).rows == 0
+    with pytest.raises(Exception, match="not_found"):
+        spark.read.format("partfiles").schema(SCHEMA).option("path", str(tmp_path / "none")).load().collect()
+    failing = groups.withColumn("amount", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        write(failing, "append")
+    assert read().collect() == []
+    time.sleep(1)
+    write(groups, "append")
+    assert sorted(map(tuple, read().collect())) == GROUPS
+    assert {f for f in os.listdir(path) if f.endswith(".arrow")} == {p["name"] for p in connector.manifest(path)["parts"]}
+
+
+def test_connector_takes_filters_columns_and_limits(spark, groups, tmp_path):
+    register(spark)
+    path = str(tmp_path / "parts")
+    groups.coalesce(1).write.format("partfiles").mode("append").option("path", path).save()
+    read = lambda schema=SCHEMA, **o: spark.read.format("partfiles").schema(schema).options(path=path, **o).load()
+    found = read().where("amount > 20 AND region = 'a' AND id % 2 = 1")
+    assert sorted(r.id for r in found.collect()) == [3, 5]
+    plan = executed_plan(found)
+    assert "amount#" in plan and "> 20" not in plan.split("BatchScan")[0]
+    assert sorted(map(tuple, read("amount double, id bigint").collect())) == sorted((a, i) for i, _, a in GROUPS)
+    assert read(limit=2).count() == 2 and read(limit=2).where("id > 3").count() <= 2
+    reader = connector.PartReader(path, read().schema)
+    left = list(reader.pushFilters([datasource.GreaterThan(("amount",), 20.0), datasource.IsNotNull(("id",)), datasource.EqualTo(("s", "x"), 1)]))
+    assert len(left) == 2 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 4
+
+
+def test_files_of_every_kind(spark, groups, tmp_path):
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = str(tmp_path / kind)
+        groups.write.format(kind).save(path)
+        back = read_files(spark, path, kind, SCHEMA if kind in ("csv", "json") else None)
+        assert sorted(map(tuple, back.select("id", "region", "amount").collect())) == GROUPS
+    groups.select("region").write.text(str(tmp_path / "text"))
+    assert read_files(spark, str(tmp_path / "text"), "text").count() == 6
+
+
+def test_arrow_stream(spark, groups):
+    for df, rows in ((groups.repartition(3), 6), (groups.limit(0), 0)):
+        out = io.BytesIO()
+        assert write_arrow_stream(df, out) == rows
+        back = pa.ipc.open_stream(out.getvalue()).read_all()
+        assert back.num_rows == rows and back.column_names == ["id", "region", "amount"]
+
+
+def test_gather_refuses_what_is_large(spark, groups):
+    assert ops.gather(groups).rdd.getNumPartitions() == 1
+    with pytest.raises(EngineError):
+        ops.gather(spark.range(10**9))
+
+
+def test_asof_join(spark):
+    left = from_rows(spark, [(1, 5, "x"), (1, 1, "y"), (2, 9, "z"), (None, 3, "n")], "k bigint, t bigint, v string")
+    right = from_rows(spark, [(1, 2, "old"), (1, 5, "new"), (1, 5, "newer"), (1, 6, "late"), (3, 1, "other")], "k bigint, t bigint, w string")
+    got = {r.v: r.w for r in ops.asof_join(left, right, ["k"], "t", ["w"]).collect()}
+    assert got == {"x": "newer", "y": None, "z": None, "n": None}
+
+
+def test_catalogs_with_equal_names(spark):
+    a, b = Catalog(spark).add_frame("t", spark.range(3)), Catalog(spark).add_frame("t", spark.range(5))
+    spark.range(7).createOrReplaceTempView("t")
+    one, two = a.sql("SELECT count(*) AS n FROM t"), b.sql("SELECT count(*) AS n FROM t")
+    assert (one.first().n, two.first().n, spark.table("t").count()) == (3, 5, 7)
+    spark.catalog.dropTempView("t")
+    a.sql("SELECT * FROM t")
+    assert not spark.catalog.tableExists("t")
+
+
 def test_ddl_and_insert(spark):
     spark.sql("DROP TABLE IF EXISTS kept")
     spark.sql("CREATE TABLE kept (id BIGINT, region STRING) USING parquet")
@@ -157,12 +243,20 @@ def test_registered_function(spark):
     assert [r[0] for r in spark.sql("SELECT twice(id) FROM range(3)").collect()] == [0, 2, 4]
 
 
-def test_handles(spark, groups):
+def test_handles(spark, groups, tmp_path):
     catalog = Catalog(spark).add_frame("t", groups)
     done = submit(catalog, "SELECT region, count(*) AS n FROM t GROUP BY region", preview=2).wait()
     assert done.state is QueryState.DONE and done.rows_total == 3 and len(done.result()) == 2
     failed = submit(catalog, "SELECT nope FROM t").wait()
     assert failed.state is QueryState.FAILED and failed.error
+    few = submit(catalog, "SELECT count(*) AS n, count(*) AS n FROM t", preview=2).wait()
+    assert few.state is QueryState.DONE and few.rows_total == 1 and tuple(few.result()[0]) == (6, 6)
+    kept = submit(catalog, "SELECT id, id AS id FROM t", preview=2, results=str(tmp_path)).wait()
+    assert kept.state is QueryState.DONE and kept.rows_total == 6 and kept.result()[0].__fields__ == ["id", "id"]
+    for _ in range(10):
+        soon = submit(catalog, "SELECT count(*) AS n FROM t")
+        soon.cancel()
+        assert soon.wait(60).state is QueryState.CANCELLED and soon.rows_total is None
     slow = submit(catalog, "SELECT sum(a.id * b.id % 7) AS s FROM range(3000000) a CROSS JOIN range(100000) b")
     time.sleep(2)
     slow.cancel()
@@ -178,3 +272,17 @@ def test_stream_equals_batch(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     found = run_to_memory(windowed_counts(parquet_stream(spark, str(tmp_path / "in")), "ts", ["event_type"]), "counts")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, windowed_counts(events, "ts", ["event_type"]).collect()))
+    stream = parquet_stream(spark, str(tmp_path / "in"))
+    sliding = run_to_memory(windowed_counts(stream, "ts", ["event_type"], slide="30 minutes"), "sliding")
+    assert sorted(map(tuple, sliding.collect())) == sorted(map(tuple, windowed_counts(events, "ts", ["event_type"], slide="30 minutes").collect()))
+
+
+def test_timestamps_without_zone_are_utc(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:30:00' AS ts, 1 AS k")
+    hours = lambda: windowed_counts(df, "ts", ["k"]).select(F.unix_timestamp("window_start").alias("s")).first().s
+    utc = hours()
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert hours() == utc == 1704067200
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
