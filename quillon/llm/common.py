@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,13 +19,18 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the session's checkpoint folder; an error where neither is set.
+    """spark.checkpoint.dir, or the session's checkpoint folder.
 
-    A folder of one machine would lose what other executors write, so none is made up here.
+    Where neither is set, as in tests, a local master, whose executors are the driver, gets a temporary folder; on a
+    cluster that would lose what other machines write, so it is an error there.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="quillon-")
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 

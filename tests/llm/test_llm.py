@@ -517,13 +517,17 @@ def test_bloom(spark):
     assert len(bits) * 8 >= 12 * 300_000
 
 
-def test_shared_folder_is_never_made_up():
+def test_shared_folder_of_a_cluster_must_be_set():
     class Session:
         conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
-        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None)})
-
-    with pytest.raises(ValueError, match="checkpoint"):
-        shared_folder(Session)
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None), "setCheckpointDir": staticmethod(lambda _: None), "master": "spark://head:7077"})
+
+    for master in ("spark://head:7077", "local-cluster[3,2,1000]", "yarn"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(Session)
+    Session.sparkContext.master = "local[4]"
+    assert shared_folder(Session)
 
 
 def test_pipeline(spark, tmp_path):
