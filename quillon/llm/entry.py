@@ -37,7 +37,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 6).alias("probability"))
+    rounded = [F.round(name, digits).alias(name) for name, digits in (("weight", 9), ("probability", 6))]
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", *rounded)
 
 
 def op6_e8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +62,12 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_best_fit_packing, op3_suffix_tree_scores, op4_quality_rules, op5_mixing, op6_e8_near_dedup, op7_disclosure_sanitiser, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation]
+    found = [
+        op1_token_counts, op2_best_fit_packing, op3_suffix_tree_scores, op4_quality_rules, op5_mixing,
+        op6_e8_near_dedup, op7_disclosure_sanitiser, op8_prefix_sum_sharding, op9_ngram_jaccard_join, op10_chat_rotation,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_rotation": chat.ORACLE}
+    return {"op6_e8_near_dedup": lattice.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE, "op10_chat_rotation": chat.ORACLE}

@@ -403,3 +403,23 @@ def placed(docs: DataFrame, n: int, tenths: int, most_docs: int, most_grams: int
     alone = classes.select("fp", "least")
     whole = alone.join(whole, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(whole, "fp", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: join() of three words at 0.9, by an inverted index: all pairs that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g
+  FROM w),
+u AS (SELECT r, len(g) AS n, unnest(g) AS g FROM s),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.g = b.g AND a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least_id AS (SELECT reach.x, min(s.doc_id) AS c FROM reach JOIN s ON s.r = reach.y GROUP BY reach.x)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id FROM s LEFT JOIN least_id ON s.r = least_id.x
+"""

@@ -221,3 +221,16 @@ def dedup(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", value:
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
+
+
+#: All pairs, so that the lattice's recall counts: the query's result must be whole on the tables that this is run on.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT reach.x, min(v.vec_id) AS c FROM reach JOIN v ON v.r = reach.y GROUP BY reach.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM v LEFT JOIN least ON v.r = least.x LEFT JOIN n ON v.r = n.x
+"""

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,7 +412,8 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def brute_components(rows, n, tenths):
+def row_components(rows, n, tenths):
+    """(id, set size, component) of each row, by all pairs."""
     sets = []
     for _, t in rows:
         w = words((t or "").encode().translate(LOWER).decode())
@@ -426,7 +428,11 @@ def brute_components(rows, n, tenths):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return Counter((str(d), len(sets[i]), str(least.get(find(i), d) if sets[i] else d)) for i, (d, _) in enumerate(rows))
+    return [(d, len(sets[i]), least.get(find(i), d) if sets[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def brute_components(rows, n, tenths):
+    return Counter((str(d), size, str(c)) for d, size, c in row_components(rows, n, tenths))
 
 
 @pytest.mark.parametrize(("n", "tenths", "most"), [(3, 90, 1500), (5, 80, 1500), (3, 90, 4)])
@@ -536,3 +542,82 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 50 and {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "pii", "mixing", "best_fit_packing"]
+
+
+def plain_spans(text):
+    """Base spans by the stated patterns as they stand."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(d) <= 19 and sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2]) in range(0, 1000, 10):
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return [(s, e, privacy.KINDS[k]) for s, k, e in sorted(found)]
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(12)
+    parts = ["a", "b.c", "@", ".", "-", "+1", " ", "(", ")", "10", "255", "256", "4465758382889437", "4465 7583-8288 9437", "x@y.z", "1.2.3.4", "\n", "é", "%", "_"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert privacy.base_spans(text) == plain_spans(text), text
+
+
+def test_pipeline_equals_plain_python(spark, docs, tmp_path):
+    """Every stage's decisions, from documents to pieces, by plain Python on a small fixture without labels."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    more = []
+    for i in range(120):
+        text = " ".join(rng.choice(WORDS) + str(rng.randint(0, 60)) for _ in range(rng.randint(15, 400)))
+        text = text.replace(" ", "\n", rng.choice([0, 0, 30])).replace(" ", " | ", rng.choice([0, 0, 0, 6]))
+        more.append((3000 + i, text + (f" write to p{i}@mail.example.org" if i % 7 == 0 else ""), rng.choice(["en", "en", "de", "fr"]), rng.choice("pqr"), 1, "r", "t", 5))
+    more += [(4000 + i, more[i][1] + " and more", "de", "q", 1, "r", "t", 5) for i in range(20)]
+    rows = docs.union(spark.createDataFrame(more, SCHEMA)).select("doc_id", "text", "lang", "source").withColumn("n_chars", chat.F.length("text").cast("bigint"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = [(r.doc_id, r.text, r.lang or "unknown", r.source or "unknown") for r in rows.collect()]
+    counts = [brute_counts(t) for _, t, _, _ in left]
+    left = [x for x, c in zip(left, counts, strict=True) if c[0] >= 20 and 100 * c[4] <= 30 * c[0]]
+    placed = row_components([x[:2] for x in left], 5, 80)
+    left = list({(x[0], x[1]): x for x, (d, _, c) in zip(left, placed, strict=True) if d is None or c == d}.values())
+    left = [(d, privacy.generalised(t, plain_spans(t)), la, so) for d, t, la, so in left]
+    assert any("[EMAIL]" in t for _, t, _, _ in left)
+
+    def cell(text, lang, source):
+        size = len(text.encode())
+        topic = "table" if text.count("|") >= 5 else "list" if text.count("\n") >= 20 else "short" if size < 600 else "long" if size > 6000 else "prose"
+        return source, lang, topic
+
+    size = Counter()
+    for _, t, la, so in left:
+        size[cell(t, la, so)] += t.count(" ") + t.count("\n") + 1
+    p = brute_fit(size, 0.8, lambda _, natural: {k: v**0.7 for k, v in natural.items()})[0]
+    unit = lambda d: int(hashlib.md5(f"1:{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
+    kept = [(d, t) for d, t, la, so in left if unit(d) < p[cell(t, la, so)]]
+    assert 0 < len(kept) < len(left)
+    whole, want = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json"), Counter()
+    for d, t in kept:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want[d, k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+@pytest.mark.parametrize("name", ["op6_e8_near_dedup", "op9_ngram_jaccard_join", "op10_chat_rotation"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from quillon.llm import entry
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df, want = entry.queries()[name](spark, data), con.sql(entry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert Counter(tuple(r[c] for c in want.columns) for r in df.collect()) == Counter(want.fetchall())
