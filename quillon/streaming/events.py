@@ -17,7 +17,8 @@ def stamped(df: DataFrame, ts: str, late: str) -> DataFrame:
     """Timestamps without time zone are read as UTC; streams get a watermark."""
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
         zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-        df = df.withColumn(ts, F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts)).cast("timestamp"))
+        there = F.col(ts) if zone in ("UTC", "Etc/UTC") else F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
+        df = df.withColumn(ts, there.cast("timestamp"))
     return df.withWatermark(ts, late) if df.isStreaming else df
 
 
