@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, U64, arrow, documents, stored
 
 #: The longest context in bytes; with the next byte it must fit 64 bits.
-DEPTH = 5
+DEPTH = 6
 #: The most frequent words, whose base scores are broadcast; all others are joined.
 HEAD = 1 << 17
 #: The most frequent windows, whose scores are broadcast; all others are joined.
-MEMO = 1_000_000
-#: A context needs so many occurrences, and this gain in nats plus so much for each next symbol that it has seen.
-SUPPORT, GAIN, GAIN_PER_SYMBOL = 8, 3.0, 1.5
+MEMO = 2_000_000
+#: A context needs so many occurrences, and so much gain in nats for each next symbol that it has seen.
+SUPPORT, GAIN_PER_SYMBOL = 2, 1.0
 END = b"\n"
 
 
@@ -124,33 +124,38 @@ def low(column: Column, size: int) -> Column:
 
 
 def fit(top: DataFrame) -> tuple[list[DataFrame], float]:
-    """From the counts (key, n) of windows, for each context length k the rows (key, ctx, p, s, back), and the score of a symbol that never occurs.
+    """From the counts (key, n) of windows, for each context length k the rows (key, p, s, back), and the score of a symbol that never occurs.
 
-    key is a context of k bytes and a symbol that follows it in the training rows, ctx the context, p the symbol's
-    share there, s its log10 probability after the longest retained suffix of the context, and back the log10 weight
-    of what a retained context hasn't seen (null for others). P(s | u) = (c + d P(s | suffix)) / (N + d), with d the
+    key is a context of k bytes and a symbol that follows it in the training rows, p the symbol's share there (not for
+    k = DEPTH), s its log10 probability after the longest retained suffix of the context, and back the log10 weight of
+    what a retained context hasn't seen (null for others). P(s | u) = (c + d P(s | suffix)) / (N + d), with d the
     number of symbols seen after u; the root mixes in one half of a count for each byte.
 
     A context is retained if its next symbols diverge from those after its suffix of k - 1 bytes: its occurrences
-    times the divergence must reach GAIN and more for each symbol seen. All that do are kept, so the tree grows with
+    times the divergence must reach GAIN_PER_SYMBOL for each symbol seen. All that do are kept, so the tree grows with
     the corpus; it stays a table. A context has at most 256 rows, which is all that one group holds.
     """
     of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low(F.col("key"), k + 1).alias("key")) for k in range(DEPTH)])).alias("e")
     rest = stored(top.select(of, "n").groupBy(F.col("e.k").alias("k"), F.col("e.key").alias("key")).agg(F.sum("n").alias("n")))
     total = rest.where(F.col("k") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = F.col("n") / F.lit(float(max(total, 1)))
-    root = rest.where(F.col("k") == 0).select("key", F.lit(0).cast("bigint").alias("ctx"), share.alias("p"), F.log10((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("s"), F.lit(None).cast("double").alias("back"))
+    root = rest.where(F.col("k") == 0).select("key", share.alias("p"), F.log10((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("s"), F.lit(None).cast("double").alias("back"))
     levels = [stored(root)]
-    group = Window.partitionBy("ctx")
     for k in range(1, DEPTH + 1):
-        here = (top if k == DEPTH else rest.where(F.col("k") == k)).select("key", "n", F.shiftrightunsigned("key", 8).alias("ctx"), low(F.col("key"), k).alias("below"))
-        rows = here.join(levels[-1].select(F.col("key").alias("below"), F.col("p").alias("p_below"), F.col("s").alias("s_below")), "below")
+        here = (top if k == DEPTH else rest.where(F.col("k") == k)).select("key", "n")
+        below = levels[-1].select(F.col("key").alias("below"), F.log("p").alias("log_p"), F.col("s").alias("s_below"))
+        group = Window.partitionBy(F.shiftrightunsigned("key", 8))
+        rows = here.join(below, low(F.col("key"), k) == F.col("below")).drop("below")
         rows = rows.withColumn("total", F.sum("n").over(group)).withColumn("kinds", F.count(F.lit(1)).over(group))
-        rows = rows.withColumn("gain", F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p_below"))).over(group))
-        kept = (F.col("total") >= SUPPORT) & (F.col("gain") >= GAIN + GAIN_PER_SYMBOL * F.col("kinds"))
+        rows = rows.withColumn("gain", F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("log_p"))).over(group))
+        kept = (F.col("total") >= SUPPORT) & (F.col("gain") >= GAIN_PER_SYMBOL * F.col("kinds"))
         mixed = F.log10((F.col("n") + F.col("kinds") * F.pow(F.lit(10.0), "s_below")) / (F.col("total") + F.col("kinds")))
-        back = F.when(kept, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))))
-        levels.append(stored(rows.select("key", "ctx", (F.col("n") / F.col("total")).alias("p"), F.when(kept, mixed).otherwise(F.col("s_below")).alias("s"), back.alias("back"))))
+        made = {
+            "p": F.col("n") / F.col("total"),
+            "s": F.when(kept, mixed).otherwise(F.col("s_below")),
+            "back": F.when(kept, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))),
+        }
+        levels.append(stored(rows.select("key", *[c.alias(name) for name, c in made.items() if k < DEPTH or name != "p"])))
     return levels, float(np.log10(0.5 / (total + 128)))
 
 
@@ -168,7 +173,7 @@ def unseen(windows: DataFrame, levels: list[DataFrame], never: float) -> DataFra
         for size, k, ctx in parts:
             if (size <= 2) == short:
                 asked.append(F.struct(F.lit(k).alias("k"), F.lit(ctx).alias("is_ctx"), key(k, ctx).alias("key")))
-                own = levels[k].where(F.col("back").isNotNull()).groupBy(F.col("ctx").alias("key")).agg(F.first("back").alias("s")) if ctx else levels[k].select("key", "s")
+                own = levels[k].where(F.col("back").isNotNull()).groupBy(F.shiftrightunsigned("key", 8).alias("key")).agg(F.first("back").alias("s")) if ctx else levels[k].select("key", "s")
                 own = own.select(F.lit(k).alias("k"), F.lit(ctx).alias("is_ctx"), "key", "s")
                 held = own if held is None else held.union(own)
         return windows.select("window", F.explode(F.array(*asked)).alias("e")).select("window", "e.*"), held
