@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, U64, arrow, documents, stored
+from quillon.llm.common import LOWER, U64, arrow, documents, forget, stored
 
 #: The longest context in bytes; with the next byte it must fit 64 bits.
 DEPTH = 6
@@ -135,17 +135,18 @@ def fit(top: DataFrame) -> tuple[list[DataFrame], float]:
     times the divergence must reach GAIN_PER_SYMBOL for each symbol seen. All that do are kept, so the tree grows with
     the corpus; it stays a table. A context has at most 256 rows, which is all that one group holds.
     """
-    of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low(F.col("key"), k + 1).alias("key")) for k in range(DEPTH)])).alias("e")
-    rest = stored(top.select(of, "n").groupBy(F.col("e.k").alias("k"), F.col("e.key").alias("key")).agg(F.sum("n").alias("n")))
-    total = rest.where(F.col("k") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = [top]
+    for k in reversed(range(DEPTH)):
+        counts.append(stored(counts[-1].groupBy(low(F.col("key"), k + 1).alias("key")).agg(F.sum("n").alias("n"))))
+    counts.reverse()
+    total = counts[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = F.col("n") / F.lit(float(max(total, 1)))
-    root = rest.where(F.col("k") == 0).select("key", share.alias("p"), F.log10((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("s"), F.lit(None).cast("double").alias("back"))
+    root = counts[0].select("key", share.alias("p"), F.log10((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("s"), F.lit(None).cast("double").alias("back"))
     levels = [stored(root)]
     for k in range(1, DEPTH + 1):
-        here = (top if k == DEPTH else rest.where(F.col("k") == k)).select("key", "n")
         below = levels[-1].select(F.col("key").alias("below"), F.log("p").alias("log_p"), F.col("s").alias("s_below"))
-        group = Window.partitionBy(F.shiftrightunsigned("key", 8))
-        rows = here.join(below, low(F.col("key"), k) == F.col("below")).drop("below")
+        group = Window.partitionBy("ctx")
+        rows = counts[k].join(below, low(F.col("key"), k) == F.col("below")).select("key", "n", "log_p", "s_below", F.shiftrightunsigned("key", 8).alias("ctx"))
         rows = rows.withColumn("total", F.sum("n").over(group)).withColumn("kinds", F.count(F.lit(1)).over(group))
         rows = rows.withColumn("gain", F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("log_p"))).over(group))
         kept = (F.col("total") >= SUPPORT) & (F.col("gain") >= GAIN_PER_SYMBOL * F.col("kinds"))
@@ -156,6 +157,7 @@ def fit(top: DataFrame) -> tuple[list[DataFrame], float]:
             "back": F.when(kept, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))),
         }
         levels.append(stored(rows.select("key", *[c.alias(name) for name, c in made.items() if k < DEPTH or name != "p"])))
+    forget(*counts[:-1])
     return levels, float(np.log10(0.5 / (total + 128)))
 
 
@@ -239,6 +241,7 @@ def score(docs: DataFrame, head: int = HEAD, memo: int = MEMO) -> DataFrame:
     found = stored(gathered(marked.where(~held)))
     words = stored(found.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")))
     windows = stored(found.where(F.col("window").isNotNull()).groupBy(F.col("window").alias("key")).agg(F.sum("n").alias("n")))
+    forget(found)
     levels, never = fit(windows)
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     norm = np.log10(total + 0.1 * (kinds + 1))
