@@ -136,7 +136,7 @@ def test_suffix_tree(docs, empty):
 def test_suffix_tree_beats_the_base_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = suffix_tree.score(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert held["sum(score)"] > 0.98 * held["sum(base_score)"]
+    assert held["sum(score)"] > held["sum(base_score)"]
 
 
 def byte_windows(tokens):
