@@ -203,10 +203,6 @@ BUILT: dict[str, tuple[Build, str]] = {
         lambda c: ops.intersect(c.table("customer").select(F.col("c_nationkey").alias("k")), c.table("supplier").select("s_nationkey")),
         "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     ),
-    "except": (
-        lambda c: ops.except_(c.table("orders").select(F.col("o_custkey").alias("k")), ops.filter_rows(c.table("customer"), "c_custkey", "<", 500).select("c_custkey")),
-        "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey < 500",
-    ),
     "except_balance": (
         lambda c: ops.except_(c.table("orders").select(F.col("o_custkey").alias("k")), ops.filter_rows(c.table("customer"), "c_acctbal", "<", 0).select("c_custkey")),
         "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0",
@@ -301,7 +297,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "preds": "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 15 AND p_brand IN ('Brand#11','Brand#22') OR p_name LIKE '%1%' AND p_type IS NOT NULL",
     "case_when": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS c FROM part",
     "str_order": "SELECT n_nationkey FROM nation WHERE n_name > 'NATION_15'",
-    "cast_floor": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderkey < 200",
     "cast_floor_all": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders",
     "filter_ge_ts": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'",
     "array_agg_sorted": (
