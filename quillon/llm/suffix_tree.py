@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, U64, arrow, documents, forget, stored
 
 #: The longest context in bytes; with the next byte it must fit 64 bits.
-DEPTH = 6
+DEPTH = 5
 #: The most frequent words, whose base scores are broadcast; all others are joined.
 HEAD = 1 << 17
 #: The most frequent windows, whose scores are broadcast; all others are joined.
-MEMO = 2_000_000
+MEMO = 1_000_000
 #: A context needs so many occurrences, and so much gain in nats for each next symbol that it has seen.
 SUPPORT, GAIN_PER_SYMBOL = 2, 1.0
 END = b"\n"
