@@ -79,7 +79,11 @@ def dialogues(segments: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
     size = F.sum(F.char_length("segment").cast("bigint"))
     part = F.struct("position", "segment", (F.col("loss_end") - F.col("loss_start")).alias("n"), "loss_start")
     whole = segments.groupBy("conv_id", "perspective").agg(size.alias("chars"))
-    held = segments.join(whole.where(F.col("chars") <= most_chars).select(F.col("conv_id").alias("k"), F.col("perspective").alias("v")), F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("perspective") == F.col("v")), "left_semi")
+    held = segments.join(
+        whole.where(F.col("chars") <= most_chars).select(F.col("conv_id").alias("k"), F.col("perspective").alias("v")),
+        F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("perspective") == F.col("v")),
+        "left_semi",
+    )
     parts = held.groupBy(F.col("conv_id").alias("k"), F.col("perspective").alias("v")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     add = lambda s, x: F.struct(

@@ -159,7 +159,9 @@ def fit(cells: DataFrame, share: float = 0.8, temper: float = 0.7, sweeps: int =
     by = lambda name: F.transform("axes", lambda a: F.transform(a["groups"], lambda g: F.struct(g[name].alias("goal"), g["cells"].alias("cells"))))
     whole = _one(whole.select(by("reach").alias("reach"), by("want").alias("want")))
     factors = _one(whole.select(_fitted(F.col("reach"), 1.0, sweeps).alias("bounded"), _fitted(F.col("want"), 1e300, sweeps).alias("free")))
-    one_row = factors.select(F.posexplode("bounded").alias("number", "b"), "free").select("number", F.posexplode(F.arrays_zip("b", F.element_at("free", F.col("number") + 1).alias("f"))).alias("i", "both"))
+    one_row = factors.select(F.posexplode("bounded").alias("number", "b"), "free").select(
+        "number", F.posexplode(F.arrays_zip("b", F.element_at("free", F.col("number") + 1).alias("f"))).alias("i", "both")
+    )
     one_row = _one(one_row.select("number", "i", F.col("both.b").alias("b"), F.col("both.f").alias("f")))
     p, w = F.lit(1.0), F.col("tokens")
     out = placed

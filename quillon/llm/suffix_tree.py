@@ -250,7 +250,17 @@ def score(docs: DataFrame, head: int = HEAD, memo: int = MEMO) -> DataFrame:
     often = frequent(windows, "n", memo).select("key").join(levels[DEPTH].select("key", "s"), "key").toArrow()
     model = spark.sparkContext.broadcast((Table(often["key"].to_numpy().view(U64)), often["s"].to_numpy()))
     known = spark.sparkContext.broadcast(heads)
-    kinds_out = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "word": pa.binary(), "window": pa.int64()}
+    kinds_out = {
+        "row": pa.int64(),
+        "doc_id": pa.int64(),
+        "held_out": pa.bool_(),
+        "n": pa.int64(),
+        "n_known": pa.int64(),
+        "base_score": pa.float64(),
+        "score": pa.float64(),
+        "word": pa.binary(),
+        "window": pa.int64(),
+    }
 
     def only(size: int, **columns: list | np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds_out.items()], names=list(kinds_out))
@@ -295,7 +305,17 @@ def score(docs: DataFrame, head: int = HEAD, memo: int = MEMO) -> DataFrame:
     rated = stored(marked.mapInArrow(rate, "row bigint, doc_id bigint, held_out boolean, n bigint, n_known bigint, base_score double, score double, word binary, window bigint"))
     c = F.coalesce(F.col("c"), F.lit(0))
     none = F.lit(0.0)
-    of_words = rated.where(F.col("word").isNotNull()).select("row", "word", "n").join(words, "word", "left").select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * (F.log10(c + F.lit(0.1)) - F.lit(float(norm)))).alias("base"), none.alias("s"))
+    of_words = (
+        rated.where(F.col("word").isNotNull())
+        .select("row", "word", "n")
+        .join(words, "word", "left")
+        .select(
+            "row",
+            F.when(c > 0, F.col("n")).otherwise(0).alias("known"),
+            (F.col("n") * (F.log10(c + F.lit(0.1)) - F.lit(float(norm)))).alias("base"),
+            none.alias("s"),
+        )
+    )
     rare = rated.where(F.col("window").isNotNull()).select("row", "held_out", "window", "n")
     seen = levels[DEPTH].select(F.col("key").alias("window"), "s")
     # Only held-out rows have windows that the tree's table lacks.
