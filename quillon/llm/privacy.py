@@ -229,10 +229,16 @@ def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES, few: i
     so that nothing of unbounded size is broadcast. Null text is empty and has no spans; repeated rows each keep
     theirs; an empty table gives none.
     """
+    span = T.StructField("spans", T._parse_datatype_string("array<struct<start: bigint, end: bigint, kind: string>>"))
+    return _found(docs, reach, least, few, lambda rest: T.StructType([*rest.fields, span]), lambda b, found: _with(b, 3, [_structs(f) for f in found]))
+
+
+def _found(docs: DataFrame, reach: float, least: int, few: int, kind: Callable[[T.StructType], T.StructType], finish: Callable[[pa.RecordBatch, list[list[Span]]], pa.RecordBatch]) -> DataFrame:
+    """What ``finish`` makes of batches of doc_id, text, row and of their texts' spans, in the worker that finds them; ``kind``: its columns."""
     others = docs.drop("text")
     narrow = [docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")]
     docs, rest = documents(docs), docs.select(*narrow, whole_row(others).alias("row"))
-    kind = T.StructType([*rest.schema.fields, T.StructField("spans", T._parse_datatype_string("array<struct<start: bigint, end: bigint, kind: string>>"))])
+    made = kind(rest.schema)
     terms = revealing(docs, reach, least)
     context = docs.sparkSession.sparkContext
     if terms.count() <= few:
@@ -248,10 +254,10 @@ def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES, few: i
                 found = []
                 for t in b.column(1).to_pylist():
                     held = bool(exact.value) and any(map(known.__getitem__, (t or "").encode("utf-8", "surrogatepass").split()))
-                    found.append(_structs(with_terms(t or "", base_spans(t or ""), exact.value if held else frozenset())))
-                yield _with(b, 3, found)
+                    found.append(with_terms(t or "", base_spans(t or ""), exact.value if held else frozenset()))
+                yield finish(b, found)
 
-        return rest.mapInArrow(trimmed(mark), kind)
+        return rest.mapInArrow(trimmed(mark), made)
     bits = context.broadcast(Bloom.build(terms.mapInArrow(_keyed, "key bigint"), "key"))
 
     def mark_maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +273,13 @@ def spans(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES, few: i
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_structs(with_terms(t or "", base_spans(t or ""), frozenset(x or ()))) for t, x in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield _with(b, 3, found)
+            found = [with_terms(t or "", base_spans(t or ""), frozenset(x or ())) for t, x in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield finish(b, found)
 
     more = T.StructType([*rest.schema.fields, T.StructField("number", T.LongType()), T.StructField("maybe", T.ArrayType(T.StringType()))])
     marked = stored(rest.mapInArrow(mark_maybe, more))
     known = marked.select("number", F.explode("maybe").alias("term")).join(terms, "term", "left_semi").groupBy("number").agg(F.collect_set("term").alias("terms"))
-    return marked.join(known, "number", "left").select("doc_id", "text", "row", "terms").mapInArrow(add, kind)
+    return marked.join(known, "number", "left").select("doc_id", "text", "row", "terms").mapInArrow(add, made)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,18 +338,17 @@ def generalised(text: str, found: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES) -> DataFrame:
+def sanitise(docs: DataFrame, reach: float = DISCLOSURE, least: int = LINES, few: int = FEW_TERMS) -> DataFrame:
     """The rows as they came, whatever the names of their columns, but for spans generalised in ``text``.
 
-    Null text stays null, empty text empty; repeated rows stay; an empty table gives an empty result.
+    Null text stays null, empty text empty; repeated rows stay; an empty table gives an empty result. One worker a task
+    finds the spans and replaces them: a second one would stay with the executor, as would the texts' way to it.
     """
 
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [None if t is None else generalised(t, [(s["start"], s["end"], s["kind"]) for s in f]) for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], names=["text", "row"])
+    def replace(b: pa.RecordBatch, found: list[list[Span]]) -> pa.RecordBatch:
+        texts = [None if t is None else generalised(t, f) for t, f in zip(b.column(1).to_pylist(), found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2)], names=["text", "row"])
 
-    found = spans(docs, reach, least).select("text", "row", "spans")
-    done = found.mapInArrow(trimmed(replace), T.StructType(found.schema.fields[:2]))
+    done = _found(docs, reach, least, few, lambda rest: T.StructType(rest.fields[1:]), replace)
     others = {n: c for n, c in zip(docs.columns, fields("row", docs.columns), strict=True) if n != "text"}
     return done.select(*[others.get(c, F.col("text")) for c in docs.columns])

@@ -397,6 +397,35 @@ def test_privacy_of_repeated_lines(spark):
     assert privacy.sanitise(df).where("doc_id = 0").first().text == "alpha beta gamma\n[EMAIL] alpha beta gamma delta epsilon zeta eta ask [TERM] alias [TERM]"
 
 
+@pytest.mark.parametrize("few", [privacy.FEW_TERMS, -1])
+def test_sanitise_passes_texts_to_one_worker(docs, few):
+    clean = privacy.sanitise(docs, few=few)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    want = [(d, None if t is None else privacy.generalised(t, plain_spans(t))) for d, t in data(docs)]
+    assert sorted(data(clean), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_bound_batches_to_workers(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    wide = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('alpha beta ', 400) AS text")
+    stage = corpus_pipeline.bounded(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n bigint, size bigint"))
+    try:
+        got = stage(spark, wide, "").collect()
+        assert sum(r.n for r in got) == 4000 and max(r["size"] for r in got) < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(corpus_pipeline.BATCH_CONF, str(1 << 30))
+        assert len(stage(spark, wide, "").collect()) == 1  # the session's own bound holds
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_CONF)
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in data(docs))
